@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, *, key="doc_id", text="text", min_lines: int =
     gone = deleted_lines(repeated_runs(docs, key=key, text=text, min_lines=min_lines), min_lines)
     marked = docs.select("*", *place(key, text)).join(gone, PLACE, "left").drop(*PLACE).select(*docs.columns, "_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines int, n_removed int"
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, text, 8 << 20):
@@ -95,7 +96,7 @@ def dedup_lines(docs: DataFrame, *, key="doc_id", text="text", min_lines: int =
                 n.append(count)
                 removed.append(len(gone or ()))
             columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(removed, pa.int32())], names=[*docs.columns, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(removed, pa.int32())], names=[*names, "n_lines", "n_removed"])
 
     return marked.mapInArrow(run, schema)
 

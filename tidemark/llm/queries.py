@@ -5,8 +5,10 @@ from __future__ import annotations
 from .ann import op9_nearest
 from .common import documents
 from .langid import op1_language_id
+from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash_join import op7_minhash
 from .mixing import op2_mixing
+from .sentencepiece_codec import op3_sentencepiece
 from .substring_dedup import op8_substring_dedup
 from .tiff_media import op6_tiff_media
 from .toxicity import op5_toxicity
@@ -15,6 +17,8 @@ from .url_filter import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_language_id": lambda spark, d: op1_language_id(documents(spark, d)),
     "op2_mixing": lambda spark, d: op2_mixing(documents(spark, d)),
+    "op3_sentencepiece": lambda spark, d: op3_sentencepiece(documents(spark, d)),
+    "op4_line_dedup": lambda spark, d: op4_line_dedup(documents(spark, d)),
     "op5_toxicity": lambda spark, d: op5_toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op6_tiff_media": lambda spark, d: op6_tiff_media(documents(spark, d)),
     "op7_minhash": lambda spark, d: op7_minhash(documents(spark, d)),
@@ -22,4 +26,4 @@ QUERIES = {
     "op9_nearest": lambda spark, d: op9_nearest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op10_url_filter": lambda spark, d: op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
 }
-ORACLE_SQL = {"op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op10_url_filter": OP10_SQL}
