@@ -38,7 +38,7 @@ def place(key: str, text: str) -> list[Column]:
 
 def line_suffixes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """PLACE, i (line number among those not blank) and two hashes a, b of the line."""
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select(*place(key, text), F.posexplode(lines).alias("i", "line"))
     return rows.select(*PLACE, "i", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")).dropDuplicates([*PLACE, "i"])
 
