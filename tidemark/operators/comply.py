@@ -147,7 +147,7 @@ def glossary_search(terms: DataFrame, text: str, columns: list[str]) -> DataFram
 
 def term_links(terms: DataFrame) -> DataFrame:
     """One row for each term and related table, by whole names."""
-    names = F.filter(F.transform(F.split("related_tables", ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split("related_tables", ","), lambda x: F.trim(x)), lambda x: x != "")
     return terms.select("term_id", "term", F.explode(F.array_distinct(names)).alias("table_name"))
 
 

@@ -12,7 +12,7 @@ def edge_key(*parts: str) -> Column:
     """Parts joined by |, with |, line feeds and carriage returns escaped."""
     def safe(c):
         c = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\|", r"\\\\|"), "\n", r"\\\\n"), "\r", r"\\\\r")
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\|", r"\\|"), "\n", r"\\n"), "\r", r"\\r")
 
     return F.concat_ws("|", *map(safe, parts))
 

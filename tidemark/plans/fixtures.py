@@ -104,7 +104,7 @@ FIXTURES = {
 
 
 def sources(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z_]\w*)\}", sql)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,4 +142,4 @@ def oracle(sql: str) -> str:
         text = "WITH " + ",\n".join(parts) if names else sql
     else:
         text = ("WITH " + ",\n".join(parts) + "\n" if names else "") + sql
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{([a-z_]\w*)\}", r"\1", text)

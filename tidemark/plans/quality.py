@@ -280,7 +280,7 @@ def i1(t):
 
 
 REFS = sqltext.TABLES.replace("'", "''")
-EDGES = f"""n AS (SELECT schema_name, object_name, object_type, unnest(list_distinct(list_transform(regexp_extract_all(text, '{REFS}', 1), x -> lower(x)))) AS name FROM {{definitions}}),
+EDGES = f"""n AS (SELECT schema_name, object_name, object_type, unnest(list_distinct(list_transform(regexp_extract_all(text, '{REFS}', 1), lambda x: lower(x)))) AS name FROM {{definitions}}),
 e AS (SELECT DISTINCT schema_name, object_name, object_type, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) ELSE schema_name END AS target_schema_name, CASE WHEN contains(name, '.') THEN split_part(name, '.', 2) ELSE name END AS target_object_name FROM n)"""
 
 
