@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from .common import bounded, staged
 
 MIN_LINES = 3
-PLACE = ["_void", "_id", "_x"]
+PLACE = ["_tm_void", "_tm_id", "_tm_x"]
 
 
 def place(key: str, text: str) -> list[Column]:
     """A document's place in the order: null ids last, id, hash of the text."""
-    return [F.col(key).isNull().alias("_void"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.col(text)).alias("_x")]
+    return [F.col(key).isNull().alias("_tm_void"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_tm_id"), F.xxhash64(F.col(text)).alias("_tm_x")]
 
 
 def line_suffixes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,14 +67,14 @@ def deleted_lines(runs: DataFrame, min_lines: int) -> DataFrame:
     first = runs.groupBy("r").agg(F.min(here).alias("first"))
     later = runs.join(first, "r").where(here > F.col("first"))
     covered = F.explode(F.sequence(F.col("i"), F.col("i") + min_lines - 1))
-    return later.select(*PLACE, covered.alias("i")).groupBy(*PLACE).agg(F.collect_set("i").alias("_gone"))
+    return later.select(*PLACE, covered.alias("i")).groupBy(*PLACE).agg(F.collect_set("i").alias("_tm_gone"))
 
 
 def dedup_lines(docs: DataFrame, *, key="doc_id", text="text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with later copies of runs cut from text, and n_lines and n_removed."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed", "_gone", *PLACE)])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     gone = deleted_lines(repeated_runs(docs, key=key, text=text, min_lines=min_lines), min_lines)
-    marked = docs.select("*", *place(key, text)).join(gone, PLACE, "left").drop(*PLACE).select(*docs.columns, "_gone")
+    marked = docs.select("*", *place(key, text)).join(gone, PLACE, "left").drop(*PLACE).select(*docs.columns, "_tm_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines int, n_removed int"
     names = docs.columns
     at = names.index(text)
@@ -82,7 +82,7 @@ def dedup_lines(docs: DataFrame, *, key="doc_id", text="text", min_lines: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, text, 8 << 20):
             texts, n, removed = [], [], []
-            for value, gone in zip(batch.column(at).to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for value, gone in zip(batch.column(at).to_pylist(), batch.column("_tm_gone").to_pylist(), strict=True):
                 lines = value.split("\n") if value else []
                 numbers, count = [], 0
                 for line in lines:
