@@ -6,10 +6,10 @@ from .ann import op9_nearest
 from .common import documents
 from .langid import op1_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
-from .minhash_join import op7_minhash
+from .minhash_join import OP7_SQL, op7_minhash
 from .mixing import op2_mixing
 from .sentencepiece_codec import op3_sentencepiece
-from .substring_dedup import op8_substring_dedup
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .tiff_media import op6_tiff_media
 from .toxicity import op5_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
@@ -26,4 +26,4 @@ QUERIES = {
     "op9_nearest": lambda spark, d: op9_nearest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op10_url_filter": lambda spark, d: op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_minhash": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}

@@ -158,3 +158,14 @@ def remove(docs: DataFrame, *, text="text", key="doc_id", size: int = SIZE) -> D
 
 def op8_substring_dedup(docs: DataFrame) -> DataFrame:
     return remove(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+h AS (SELECT doc_id, i, CASE WHEN lead(i, 49) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS h FROM t),
+f AS (SELECT h, min(doc_id) AS least FROM h WHERE h IS NOT NULL GROUP BY h),
+gone AS (SELECT DISTINCT h.doc_id, h.i + k.k AS i FROM h JOIN f ON h.h = f.h AND f.least < h.doc_id CROSS JOIN range(0, 50) AS k(k)),
+kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) FILTER (gone.i IS NULL) AS kept, count(gone.i) AS n_removed FROM t LEFT JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
+SELECT w.doc_id, cast(len(w.words) AS bigint) AS n_words, cast(coalesce(kept.n_removed, 0) AS bigint) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
