@@ -257,14 +257,14 @@ def m3(t):
     return comply.retention_plan(t.gov, as_of(), t.tasks.where("maintenance_type = 'VACUUM'"))
 
 
-@query("m4_expire", "SELECT o_orderkey, o_orderdate FROM orders WHERE NOT o_orderdate < TIMESTAMP '1995-01-01 00:00:00'")
+@query("m4_expire", "SELECT o_orderkey, o_orderdate FROM orders WHERE NOT o_orderdate < TIMESTAMP '1997-01-01 00:00:00'")
 def m4(t):
-    return comply.expire(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"))[0]
+    return comply.expire(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))[0]
 
 
-@query("m5_execute", "SELECT count(*) AS rows_affected, 'COMPLETED' AS status FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01 00:00:00'")
+@query("m5_execute", "SELECT count(*) AS rows_affected, 'COMPLETED' AS status FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'")
 def m5(t):
-    return comply.execute(t.orders, "o_orderdate", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"))[1]
+    return comply.execute(t.orders, "o_orderdate", F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))[1]
 
 
 @query("m6_subject_columns", "SELECT DISTINCT table_name, column_name FROM {columns_source} WHERE column_name IN ('name', 'extra')")
