@@ -18,6 +18,7 @@ pass through. decode() of null is null; ids that are controls give nothing; ids
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -45,11 +46,15 @@ class Pieces:
     longest: int = 1
     separable: bool = True
     worst: float = 0.0  # score of a character that no piece covers
+    tails: set[str] = field(default_factory=set)  # all endings of pieces
+    inside: set[str] = field(default_factory=set)  # all pairs of neighbouring characters in pieces
 
     def __post_init__(self):
         byte_ids = set(self.bytes_at.values())
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in byte_ids}
         self.worst = min(self.scores, default=0.0) - 10
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.ids), default=1)
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.ids)
 
@@ -64,12 +69,28 @@ class Pieces:
         return Pieces(names, [m.get_score(i) for i in range(n)], special, {int(names[i][1:-1], 16): i for i in range(n) if m.is_byte(i)}, m.unk_id(), kind)
 
 
+class Remembered(dict):
+    """Results of make(key), for up to `limit` keys."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 class Codec:
     """Streaming encoder and decoder over Pieces."""
 
-    def __init__(self, model: Pieces, limit: int = 400_000):
+    def __init__(self, model: Pieces, limit: int = 1_000_000):
         self.model, self.limit = model, limit
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.code = "H" if len(model.pieces) <= 1 << 16 else "I"
+        self.words, self.parts = Remembered(self.word, limit), Remembered(self.cut, limit // 4)  # packed ids, some 200 bytes each
+        self.ends = Remembered(self.ending, limit // 2)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tail = self.spell()
 
@@ -92,7 +113,7 @@ class Codec:
         key = (before, piece)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= self.limit:
+            if len(self.pairs) >= self.limit // 2:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
@@ -171,42 +192,57 @@ class Codec:
         return tuple(chain.from_iterable(self.stream([text])))
 
     def short(self, text: str) -> tuple[int, ...]:
-        """stream() for a BPE text that fits into the window, which then need not move."""
-        ids, pairs, top, n = self.model.ids, self.pairs, self.model.longest, len(text)
-        last = [""] * (n + 1)  # the piece that ends at each boundary
-        for now in range(1, n + 1):
-            for start in range(now - top if now > top else 0, now):
-                piece = text[start:now]
-                if piece in ids or start == now - 1:
-                    before = last[start]
-                    ok = pairs.get((before, piece))
-                    if ok is None:
-                        ok = self.fits(before, piece)
-                    if ok:
-                        last[now] = piece
-                        break
-        out = []
-        while n:
-            piece = last[n]
-            n -= len(piece)
+        """stream() for a BPE text that fits into the window, which then need not move. The piece that ends at a
+        boundary depends on what is before it alone, so that words with a common beginning share the work."""
+        ids, out = self.model.ids, []
+        while text:
+            piece = self.ends[text]
             found = ids.get(piece)
             out.append((found,) if found is not None else self.fallback(piece))
+            text = text[: -len(piece)]
         out.reverse()
         return tuple(chain.from_iterable(out))
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a space and the word after it."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            head, *lines = word.split("\n") if self.newline_alone else [word]
-            found = self.unit(MARK + head.replace(" ", MARK))
-            for line in lines:  # no piece holds a line feed, so paths meet at it
-                found += self.fallback("\n") + (self.unit(line) if line else ())
-            self.words[word] = found
+    def ending(self, text: str) -> str:
+        """The last piece of text: the shortest one that may follow the last piece before it."""
+        ids, tails, pairs, n = self.model.ids, self.model.tails, self.pairs, len(text)
+        for start in range(n - 1, -1, -1):
+            piece = text[start:]
+            if piece in ids or start == n - 1:
+                before = self.ends[text[:start]] if start else ""
+                ok = pairs.get((before, piece))
+                if ok is None:
+                    ok = self.fits(before, piece)
+                if ok:
+                    return piece
+            if piece not in tails:
+                break
+        raise AssertionError("each boundary has a path")
+
+    def word(self, word: str) -> bytes:
+        """Packed ids of a space and the word after it."""
+        if word.isalpha():
+            return self.pack(self.unit(MARK + word))
+        head, *lines = word.split("\n") if self.newline_alone else [word]
+        found = self.cut(MARK + head.replace(" ", MARK))
+        for line in lines:  # no piece holds a line feed, so paths meet at it
+            found += self.pack(self.fallback("\n")) + (self.cut(line) if line else b"")
         return found
 
+    def cut(self, text: str) -> bytes:
+        """Packed ids of text. Where no piece holds two neighbouring characters, paths meet between them: what is
+        before, such as a word before its comma, is looked up by itself."""
+        inside = self.model.inside
+        if text.lstrip(MARK).isalpha():
+            return self.pack(self.unit(text))
+        for i in range(len(text) - 1, 0, -1):
+            if text[i - 1 : i + 1] not in inside:
+                return self.parts[text[:i]] + self.parts[text[i:]]
+        return self.pack(self.unit(text))
+
+    def pack(self, ids: tuple[int, ...]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     @property
     def newline_alone(self) -> bool:
         return self.tail[1]
@@ -217,15 +253,15 @@ class Codec:
         table = [b"" if i in m.special else p.encode() for i, p in enumerate(m.pieces)]
         for b, i in m.bytes_at.items():
             table[i] = bytes([b])
-        array = np.empty(len(table), dtype=object)
-        array[:] = table
-        return array, bool(m.bytes_at) and not any("\n" in p for p in m.ids)
+        spelled = np.empty(len(table), dtype=object)
+        spelled[:] = table
+        return spelled, bool(m.bytes_at) and not any("\n" in p for p in m.ids)
 
-    def encode(self, text: str) -> Iterable[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return ()
+            return np.zeros(0, np.int32)
         if not self.model.separable:
-            return chain.from_iterable(self.stream([MARK + text.replace(" ", MARK)]))
+            return np.fromiter(chain.from_iterable(self.stream([MARK + text.replace(" ", MARK)])), np.int32)
         words = text.replace(MARK, " ").split(" ")
         if "" in words:  # several spaces: they belong to the word after them, or end the text
             joined, held = [], ""
@@ -236,8 +272,7 @@ class Codec:
                 else:
                     held += " "
             words = joined
-        get, word = self.words.get, self.word
-        return chain.from_iterable([get(w) or word(w) for w in words])
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.code).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(self.tail[0][ids]).replace(MARK.encode(), b" ")
@@ -259,7 +294,7 @@ def encode(docs: DataFrame, model: Pieces, *, text="text", keep=("doc_id",), che
                     rows.append(None)
                     same.append(None)
                     continue
-                ids = np.fromiter(codec.encode(value), np.int32)
+                ids = codec.encode(value)
                 rows.append(ids)
                 if check:
                     same.append(codec.decode(ids) == value)
