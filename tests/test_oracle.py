@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import operations, quality, replication, writing  # noqa: F401
+from tidemark.plans import operations, parts, quality, replication, writing  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
