@@ -199,9 +199,11 @@ def label(docs: DataFrame, model: Model, *, text="text", spans: bool = False) ->
         docs = docs.drop(*[c for c in docs.columns if c.lower() in clash])
     extra = "lang_pred string, score double, n_spans int" + ", spans array<struct<first:int,last:int,lang:string>>" * spans
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + extra
-    langs = np.array([*model.languages, UND], dtype=object)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x at most max_languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        langs = np.array([*model.languages, UND], dtype=object)
         vocabulary = Vocabulary(model)
         for batch in bounded(batches, text, 16 << 20):
             if len(vocabulary) > vocabulary.limit:
