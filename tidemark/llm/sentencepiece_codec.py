@@ -86,7 +86,7 @@ class Remembered(dict):
 class Codec:
     """Streaming encoder and decoder over Pieces."""
 
-    def __init__(self, model: Pieces, limit: int = 1_000_000):
+    def __init__(self, model: Pieces, limit: int = 600_000):
         self.model, self.limit = model, limit
         self.code = "H" if len(model.pieces) <= 1 << 16 else "I"
         self.words, self.parts = Remembered(self.word, limit), Remembered(self.cut, limit // 4)  # packed ids, some 200 bytes each
