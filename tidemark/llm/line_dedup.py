@@ -64,7 +64,7 @@ def repeated_runs(docs: DataFrame, *, key="doc_id", text="text", min_lines: int
 def deleted_lines(runs: DataFrame, min_lines: int) -> DataFrame:
     """PLACE and the numbers of the lines that later copies of runs cover."""
     here = F.struct(*PLACE, "i")
-    first = runs.groupBy("r").agg(F.min(here).alias("first"))
+    first = staged(runs.groupBy("r").agg(F.min(here).alias("first")))  # so that the join can split a hot run
     later = runs.join(first, "r").where(here > F.col("first"))
     covered = F.explode(F.sequence(F.col("i"), F.col("i") + min_lines - 1))
     return later.select(*PLACE, covered.alias("i")).groupBy(*PLACE).agg(F.collect_set("i").alias("_tm_gone"))

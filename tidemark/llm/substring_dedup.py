@@ -7,8 +7,8 @@ full window contains the same one wherever it stands, so none is lost. Windows t
 document alone end there; those repeated are extended to twice the length, all full windows around
 them. What is still repeated at the full length is covered from its second document on.
 
-Hot windows (a passage in a third of all documents) are counted with map-side combining, and the
-joins back are plain sort-merge joins, which Spark splits where a key is hot.
+Hot windows (a passage in a third of all documents) are counted with map-side combining. The counts are
+written before they are joined back: between two plain tables Spark can split the rows of a hot key.
 
 Defined cases: null and empty texts have no words; texts shorter than a window keep theirs. Ties are
 between documents, so windows repeated only within one document stay. Rows with equal id count as one
@@ -115,10 +115,10 @@ def covered(docs: DataFrame, *, text="text", key="doc_id", size: int = SIZE) ->
     rows = staged(rows.select("id", "n_words", "copy"))
     alone = base.join(rows.where("copy").select("id").distinct(), "id", "left_anti").where("id is not null")
     halves = staged(alone.select("id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", F.col("x.hashes").alias("h"), F.col("x.places").alias("place")))
-    alive = halves.join(repeated_elsewhere(halves, "h", "_least").select("h"), "h", "left_semi")
+    alive = halves.join(staged(repeated_elsewhere(halves, "h", "_least").select("h")), "h", "left_semi")
     anchors = alive.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("anchors"))
     windows = staged(full_windows(texts.join(anchors, "id").select("id", "text", "anchors"), size))
-    gone = windows.join(repeated_elsewhere(windows, "h", "least"), "h").where("least < id")
+    gone = windows.join(staged(repeated_elsewhere(windows, "h", "least")), "h").where("least < id")
     return rows, gone.groupBy("id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
