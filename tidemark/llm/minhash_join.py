@@ -10,7 +10,11 @@ level with probability 1 - (1 - s)^trees (0.85 and 12 trees: all but 1e-9).
 A node that is still large at the last level holds a dense group, such as thousands of near copies. Its
 pairs are never listed: the document with most agreement with the whole node leads, all are compared
 with it, and those that differ from it go to the next round, until small nodes are left or `rounds`
-leaders were taken. Candidate pairs pass a sketch (sure to keep anything near the threshold); links are
+leaders were taken. Nodes whose documents are not one component after that are joined exactly, leaders'
+members included: every set gives its rarest shingles, so many that linked sets must share one of them,
+and documents of different components that do so, where sizes and places allow a link, are candidates.
+
+Candidate pairs pass a sketch (sure to keep anything near the threshold); links are
 confirmed on the full sets, and components follow from them by alternating large and small stars.
 
 Defined cases: texts with fewer words than `width` are one shingle, the whole sequence; without words
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, as_bytes, bounded, staged, window_hashes
 
 COORDINATES = 128
+BUCKETS = 1 << 20  # of shingles that are counted together
 FACTORS = np.random.default_rng(97).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -92,8 +98,8 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("path").agg(F.count("*").alias("c")).where("c > 1"), "path")
 
 
-def candidates(reps: DataFrame, *, percent: int, trees: int, levels: int, small: int, rounds: int) -> DataFrame:
-    """Distinct pairs (a, b) that meet in a node of some tree."""
+def candidates(reps: DataFrame, *, percent: int, trees: int, levels: int, small: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (a, b) that meet in a node of some tree or with its leaders; and path and id of the nodes still large."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("tokens", t * levels + 1, levels))
     rows = reps.select("id", "n", F.posexplode(cut).alias("tree", "toks")).withColumn("path", F.xxhash64("tree", F.col("toks")[0]))
     found = None
@@ -103,10 +109,10 @@ def candidates(reps: DataFrame, *, percent: int, trees: int, levels: int, small:
         found = pairs if found is None else found.unionByName(pairs)
         rows = live.where(F.col("c") > small).drop("c")
         if rows.isEmpty():
-            return found.distinct()
+            return found.distinct(), None
         if level < levels:
             rows = rows.withColumn("path", F.xxhash64("path", F.col("toks")[level]))
-    dense = staged(rows.select("path", "id", "n").join(reps.select("id", "sketch"), "id"))
+    dense = large = staged(rows.select("path", "id", "n").join(reps.select("id", "sketch"), "id"))
     for _ in range(rounds):
         if dense.isEmpty():
             break
@@ -121,7 +127,94 @@ def candidates(reps: DataFrame, *, percent: int, trees: int, levels: int, small:
         rest = staged(sized(compared.where("estimate < %f" % (percent / 100 + 0.05)).select("path", "id", "n", "sketch")))
         found = found.unionByName(exhaustive(rest.where(F.col("c") <= small), percent))
         dense = rest.where(F.col("c") > small).drop("c")
-    return found.distinct()
+    return found.distinct(), large.select("path", "id")
+
+
+def unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """id and root of the documents in nodes that are not one component."""
+    rows = large.join(roots, F.col("id") == F.col("u"), "left").select("path", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rows.groupBy("path").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("path")
+    return rows.join(mixed, "path").select("id", "root").distinct()
+
+
+def prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """id, root, n and the first shingles (item, at) of every text, rare ones first: sets of the similarity share one of them.
+
+    The order is by the count of the shingle's bucket among members, then by value; any order that all sets share would do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), np.zeros(BUCKETS, np.int64)
+        for batch in bounded(batches, "text", 4 << 20):
+            for text in as_bytes(batch.column("text")):
+                np.add.at(seen, (shingle_set(text, hashes, width) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["bucket", "n"])
+
+    counts = members.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    weight = np.zeros(BUCKETS, np.int64)
+    weight[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, weight = WordHashes(), shared.value
+        for batch in bounded(batches, "text", 4 << 20):
+            firsts, sizes = [], []
+            for text in as_bytes(batch.column("text")):
+                s = shingle_set(text, hashes, width)
+                order = np.lexsort((s, weight[(s % np.uint64(BUCKETS)).astype(np.int64)]))
+                firsts.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
+                sizes.append(len(s))
+            k = [len(f) for f in firsts]
+            owner = pa.array(np.repeat(np.arange(len(k)), k))
+            at = np.concatenate([np.arange(x) for x in k])
+            n = pa.array(np.repeat(sizes, k), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("root").take(owner), n, pa.array(np.concatenate(firsts).view(np.int64)), pa.array(at, pa.int64())], names=["id", "root", "n", "item", "at"])
+
+    return members.mapInArrow(run, "id long, root long, n long, item long, at long")
+
+
+def crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots that share an item of their prefixes, where sizes and places allow a link."""
+
+    def pairs(ids, roots, n, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(n, kind="stable")
+        ids, roots, n, rest = ids[order], roots[order], n[order], (n - at - 1)[order]
+        names, counts = np.unique(roots, return_counts=True)
+        top = roots == names[counts.argmax()]
+        for i in np.flatnonzero(~top):
+            span = slice(*np.searchsorted(n, [-(-percent * n[i] // 100), 100 * n[i] // percent + 1]))
+            new = (roots[span] != roots[i]) & (top[span] | (np.arange(span.start, span.stop) > i))
+            fits = new & ((100 + percent) * (1 + np.minimum(rest[span], rest[i])) >= percent * (n[span] + n[i]))
+            other = ids[span][fits]
+            yield np.minimum(other, ids[i]), np.maximum(other, ids[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(found) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+        held, found, size = None, [], 0
+        for batch in chain(batches, [None]):  # sorted by item: the last item of a batch may go on in the next
+            if batch is not None:
+                new = [batch.column(c).to_numpy() for c in ("item", "id", "root", "n", "at")]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            starts = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])
+            ends = np.r_[starts[1:], len(held[0])]
+            done = len(starts) if batch is None else len(starts) - 1
+            several = np.minimum.reduceat(held[2], starts) < np.maximum.reduceat(held[2], starts)
+            for j in np.flatnonzero(several[:done]):
+                for pair in pairs(*[x[starts[j] : ends[j]] for x in held[1:]]):
+                    found.append(pair)
+                    size += len(pair[0])
+                    if size >= 100_000:
+                        yield batch_of(found)
+                        found, size = [], 0
+            held = [x[starts[done] :] for x in held] if done < len(starts) else None
+        if found:
+            yield batch_of(found)
+
+    return rows.repartition("item").sortWithinPartitions("item").mapInArrow(run, "a long, b long").distinct()
 
 
 def estimated(pairs: DataFrame) -> DataFrame:
@@ -178,8 +271,15 @@ def near_duplicates(docs: DataFrame, *, text="text", key="doc_id", width: int =
     able = base.where("id is not null and n > 0")
     classes = staged(able.groupBy("key").agg(F.min("id").alias("rep")))
     reps = staged(able.join(classes, (able["key"] == classes["key"]) & (F.col("id") == F.col("rep"))).select("id", "n", "tokens", "sketch").dropDuplicates(["id", "tokens"]))
-    pairs = candidates(reps, percent=percent, trees=trees, levels=levels, small=small, rounds=rounds)
-    roots = components(confirmed(pairs, reps, texts, percent, width))
+    pairs, large = candidates(reps, percent=percent, trees=trees, levels=levels, small=small, rounds=rounds)
+    links = staged(confirmed(pairs, reps, texts, percent, width))
+    roots = components(links)
+    if large is not None:
+        left = staged(unsettled(large, roots))
+        if not left.isEmpty():
+            members = staged(texts.join(left.hint("merge"), "id").select("id", "root", "text"))
+            pairs = staged(crossing(prefixes(members, percent, width), percent))
+            roots = components(links.unionByName(confirmed(pairs, reps, texts, percent, width)))
     rooted = classes.join(roots, F.col("rep") == F.col("u"), "left").select("key", F.coalesce("root", "rep").alias("component"))
     out = base.select("id", "n", "key").join(rooted, "key", "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
