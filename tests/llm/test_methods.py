@@ -213,6 +213,23 @@ def test_sentencepiece_equals_the_library():
     assert len(given) > 3 and [i for g in given for i in g] == library.encode(text[1:].replace("▁", " "))
 
 
+def test_sentencepiece_on_long_units():
+    import base64
+
+    import sentencepiece
+
+    path = sentencepiece_codec.default_path()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load(path))
+    r = random.Random(4)
+    chinese = "".join(r.choice("的一是不了在人有我他这中大来上国，。、！“”") for _ in range(100_000))
+    japanese = "".join(r.choice("のにはをたがでてとしれさアイウエオ日本語、。「」") for _ in range(100_000))
+    table = "\t".join(str(r.randrange(10**6)) for _ in range(15_000))
+    listed = ",".join(r.choice(["a", "Ünï", "12.5", "", "x-y"]) for _ in range(30_000))
+    for text in (chinese, japanese, table, listed, base64.b64encode(r.randbytes(75_000)).decode(), "🙂👍🏽" * 33_000):
+        assert list(codec.encode(text)) == library.encode(text), text[:40]
+
+
 def test_unigram_viterbi_is_the_best_path():
     names = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "bab", "▁ab"]
     scores = [0.0, -2.0, -1.5, -1.7, -2.9, -2.2, -2.6, -4.0, -3.6]

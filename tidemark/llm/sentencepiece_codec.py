@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from .common import bounded
 
 MARK = "▁"
+LONG = 256
 
 
 @dataclass
@@ -70,7 +71,7 @@ class Pieces:
 
 
 class Remembered(dict):
-    """Results of make(key), for up to `limit` keys."""
+    """Results of make(key), for up to `limit` keys of at most LONG characters."""
 
     def __init__(self, make, limit: int):
         super().__init__()
@@ -79,7 +80,9 @@ class Remembered(dict):
     def __missing__(self, key):
         if len(self) >= self.limit:
             self.clear()
-        found = self[key] = self.make(key)
+        found = self.make(key)
+        if len(key) <= LONG:
+            self[key] = found
         return found
 
 
@@ -89,7 +92,7 @@ class Codec:
     def __init__(self, model: Pieces, limit: int = 600_000):
         self.model, self.limit = model, limit
         self.code = "H" if len(model.pieces) <= 1 << 16 else "I"
-        self.words, self.parts = Remembered(self.word, limit), Remembered(self.cut, limit // 4)  # packed ids, some 200 bytes each
+        self.words, self.parts = Remembered(self.word, limit), Remembered(self.part, limit // 4)  # packed ids, some 200 bytes each
         self.ends = Remembered(self.ending, limit // 2)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tail = self.spell()
@@ -234,10 +237,11 @@ class Codec:
         before, such as a word before its comma, is looked up by itself."""
         inside = self.model.inside
         if text.lstrip(MARK).isalpha():
-            return self.pack(self.unit(text))
-        for i in range(len(text) - 1, 0, -1):
-            if text[i - 1 : i + 1] not in inside:
-                return self.parts[text[:i]] + self.parts[text[i:]]
+            return self.part(text)
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside]
+        return b"".join([self.parts[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+
+    def part(self, text: str) -> bytes:
         return self.pack(self.unit(text))
 
     def pack(self, ids: tuple[int, ...]) -> bytes:
