@@ -35,17 +35,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id (one row of it)."""
-    kept = minhash_join.near_duplicates(docs).where("kept").select(F.col("id").alias("_id")).distinct()
-    docs = docs.select(*COLUMNS).dropDuplicates(["doc_id"])
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).select(*COLUMNS)
+    """One document of each group stays, the one with the smallest id (rows of it that are equal in text once). Those without an id stay."""
+    kept = minhash_join.near_duplicates(docs, row="_text").where("kept and id is not null").select(F.col("id").alias("_id"), "_text").distinct()
+    docs = docs.select(*COLUMNS)
+    named = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "_row"])
+    left = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_text"))).select(*COLUMNS)
+    return left.unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: once for each epoch in which it takes some of its words."""
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    times = mixing.mix(sized).where("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    mixed = docs.select(*COLUMNS).join(times, docs["doc_id"].eqNullSafe(times["_id"]))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("_row"), mixing.word_count(F.col("text")).alias("size"))
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    times = mixing.mix(sized, keep=("_row",)).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_row").alias("_text")).agg(F.sum(copies).cast("int").alias("_n"))
+    # Equal rows count once here, as times has the sum of their copies.
+    rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_row"])
+    mixed = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_row") == F.col("_text")))
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
 
 

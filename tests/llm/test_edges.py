@@ -130,3 +130,14 @@ def test_stages(spark, odd, empty):
             docs = stage(spark, docs, "").cache()
             assert docs.columns == corpus_pipeline.COLUMNS, name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("not lossless").count() == 0
+
+
+def test_stages_keep_rows_without_or_with_shared_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    items = [(1, text("a")), (2, text("b")), (2, text("a")), (None, text("c")), (None, text("d")), (None, text("d")), (3, text("e")), (3, text("e")), (3, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in items], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_dedup(spark, docs, "").cache()
+    want = [(-1, text("c")), (-1, text("d")), (-1, text("d")), (1, text("a")), (2, text("b")), (3, text("e")), (3, text("f"))]
+    found = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in df.collect())
+    assert found(left) == want
+    assert found(corpus_pipeline.mix_sources(spark, left, "")) == want

@@ -55,7 +55,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, width: int, functions: int) -> DataFrame:
-    """id, n (size of the set), key (of the whole set), tokens (minwise, one a function) and sketch."""
+    """id, row, n (size of the set), key (of the whole set), tokens (minwise, one a function) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -69,9 +69,9 @@ def signatures(texts: DataFrame, width: int, functions: int) -> DataFrame:
             m = np.stack(rows)
             tokens = pa.FixedSizeListArray.from_arrays(pa.array(m[:, :functions].copy().view(np.int64).ravel()), functions).cast(pa.list_(pa.int64()))
             sketch = pa.array([x.tobytes() for x in (m & np.uint64(255)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), tokens, sketch], names=["id", "n", "key", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), tokens, sketch], names=["id", "row", "n", "key", "tokens", "sketch"])
 
-    return texts.mapInArrow(run, "id long, n long, key binary, tokens array<long>, sketch binary")
+    return texts.mapInArrow(run, "id long, row long, n long, key binary, tokens array<long>, sketch binary")
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -264,10 +264,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, text="text", key="doc_id", width: int = 5, percent: int = 80, trees: int = 12, levels: int = 4, small: int = 16, rounds: int = 6) -> DataFrame:
-    """id, n_shingles, component_id and kept for every row."""
+def near_duplicates(docs: DataFrame, *, text="text", key="doc_id", width: int = 5, percent: int = 80, trees: int = 12, levels: int = 4, small: int = 16, rounds: int = 6, row: str | None = None) -> DataFrame:
+    """id, n_shingles, component_id and kept for every row; with row also the xxhash64 of its text, under that name."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = staged(signatures(texts, width, trees * levels))
+    base = staged(signatures(texts.withColumn("row", F.xxhash64("text")), width, trees * levels))
     able = base.where("id is not null and n > 0")
     classes = staged(able.groupBy("key").agg(F.min("id").alias("rep")))
     reps = staged(able.join(classes, (able["key"] == classes["key"]) & (F.col("id") == F.col("rep"))).select("id", "n", "tokens", "sketch").dropDuplicates(["id", "tokens"]))
@@ -281,9 +281,9 @@ def near_duplicates(docs: DataFrame, *, text="text", key="doc_id", width: int =
             pairs = staged(crossing(prefixes(members, percent, width), percent))
             roots = components(links.unionByName(confirmed(pairs, reps, texts, percent, width)))
     rooted = classes.join(roots, F.col("rep") == F.col("u"), "left").select("key", F.coalesce("root", "rep").alias("component"))
-    out = base.select("id", "n", "key").join(rooted, "key", "left")
+    out = base.select("id", "row", "n", "key").join(rooted, "key", "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), *([F.col("row").alias(row)] if row else [])).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_minhash(docs: DataFrame) -> DataFrame:
