@@ -230,6 +230,54 @@ def test_sentencepiece_on_long_units():
         assert list(codec.encode(text)) == library.encode(text), text[:40]
 
 
+def test_sentencepiece_query_equals_the_library(spark, monkeypatch):
+    """All texts of the table; the codec has no way to ids but the lattice's."""
+    import sentencepiece
+
+    path = sentencepiece_codec.default_path()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    got = {r["doc_id"]: r for r in sentencepiece_codec.op3_sentencepiece(docs).collect()}
+    want = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.keys() == want.keys()
+    for i, text in want.items():
+        assert got[i]["ids"] == (None if text is None else library.encode(text))
+        assert got[i]["lossless"] == (None if text is None else "▁" not in text)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load(path))
+    monkeypatch.setattr(sentencepiece_codec.Lattice, "push", lambda self, chars: None)
+    text = "\n".join(t for t in list(want.values())[:20] if t)
+    assert set(codec.encode(text).tolist()) <= {codec.model.bytes_at[10]}
+
+
+def test_sentencepiece_files_that_are_not_supported(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    whole = sentencepiece_model_pb2.ModelProto()
+    with open(sentencepiece_codec.default_path(), "rb") as file:
+        whole.ParseFromString(file.read())
+    assert sentencepiece_codec.Pieces.load(sentencepiece_codec.default_path()).kind == "bpe"
+
+    def changed(change):
+        m = sentencepiece_model_pb2.ModelProto()
+        m.CopyFrom(whole)
+        change(m)
+        (tmp_path / "m.model").write_bytes(m.SerializeToString())
+        return sentencepiece_codec.Pieces.load(str(tmp_path / "m.model"))
+
+    assert changed(lambda m: setattr(m.trainer_spec, "model_type", 1)).kind == "unigram"
+    for change in (lambda m: setattr(m.trainer_spec, "model_type", 3), lambda m: setattr(m.pieces[500], "type", 4), lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x")):
+        with pytest.raises(ValueError):
+            changed(change)
+
+
+def test_sentencepiece_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, IDS int, lossless string")
+    model = sentencepiece_codec.Pieces.load(sentencepiece_codec.default_path())
+    got = sentencepiece_codec.encode(docs, model, keep=("doc_id", "IDS", "lossless", "text"), check=True)
+    assert got.columns == ["doc_id", "text", "ids", "n_ids", "lossless"] and got.first()["lossless"] is True
+    assert sentencepiece_codec.decode(got, model, keep=("doc_id", "text")).first()["text"] == "a b"
+
+
 def test_unigram_viterbi_is_the_best_path():
     names = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "bab", "▁ab"]
     scores = [0.0, -2.0, -1.5, -1.7, -2.9, -2.2, -2.6, -4.0, -3.6]
