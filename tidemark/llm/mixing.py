@@ -1,18 +1,19 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions alone.
 
 The words of a source form a stream: its documents in an order shuffled by hash, one after the
-other, three times over. Streams are cut into blocks of `block` words. A schedule of N = 2^m slots
-deals the blocks out: slot i gets the van der Corput point of i, which falls into one source's part
-of [0, 1), a part as wide as the source's share of all blocks asked for. The k-th slot of a source
-takes the k-th block of its stream; slots of a source whose blocks are all dealt stay empty. As the
-first 2^m van der Corput points are evenly spaced and parts begin at grid points, every source gets
-at least the slots it needs, so that the words taken equal its target, rounded to whole words.
+other, three times over. Streams are cut into equal blocks of words. A schedule deals them out: of 2^m
+slots, slot i gets the van der Corput point of i, which falls into one source's part of [0, 1), a part
+as wide as the source's target in blocks, or into none. The k-th slot of a source takes the k-th block of its
+stream, so that the slots a source gets are what it gives, and their order is the order of the mix. As the
+first 2^m van der Corput points are evenly spaced, that is its target to half a block. Blocks have a
+2^18th of all words (at least one word, and at most `block`).
 
 Ranks and stream offsets are prefix sums in two levels (within a chunk, then over the chunks), so a
-source with a third of the rows is never in one task. Sources must be far fewer than rows.
+source with a third of the rows is never in one task; many sources are ranked in the same way, by ranges. Rows that
+are equal in all columns used are one stretch of the stream, so that many of them meet in no window.
 
 Defined cases: a null text has size 0 and is never taken. Null sources are one source, the last.
-A document without words is in the result with taken 0. Repeated rows are documents of their own.
+A document without words is in the result with taken 0 and no slot. Repeated rows are documents of their own.
 An empty table gives an empty result. Only the named columns are read.
 """
 
@@ -24,32 +25,47 @@ from pyspark.sql import functions as F
 from .common import WORD, staged
 
 WEIGHTS = (1, 2, 3)
-BROADCAST_ROWS = 10_000  # more sources than that are joined by a shuffle
+FEW = 10_000  # sources that one task may rank and a join may broadcast; more are ranked by ranges and shuffled
 EPOCHS = 3  # a source gives its words three times at most
+SLOT_BITS = 18
+BUCKET_ROWS = 4096  # documents of a source that are ordered in one window
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sums_before(df: DataFrame, order: list[str], sums: dict[str, str], few: bool = False) -> DataFrame:
+    """df and, by new name, the sum of a column over all rows before in this order (no ties): in one window where
+    the rows are few, else within ranges of the order and then over the ranges, as many as shuffle partitions at most."""
+    so_far = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if few:
+        return df.withColumns({n: so_far(c, Window.orderBy(*order)) for n, c in sums.items()})
+    parts = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    offsets = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    offsets = offsets.select("_part", *[so_far(f"_{n}", Window.orderBy("_part")).alias(f"_{n}") for n in sums])
+    within = Window.partitionBy("_part").orderBy(*order)
+    return parts.join(offsets, "_part").withColumns({n: F.col(f"_{n}") + so_far(c, within) for n, c in sums.items()}).drop("_part", *[f"_{n}" for n in sums])
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """One row per source of sized (source, size): source_size, target, quota (target in whole words).
+    """One row per source of sized (source, size): nth, docs, source_size and target.
 
     Weights repeat over the sources by code point, null last. Targets share all sizes; one that would be
     above epochs times its source stops there, and what is left is shared by weight. In closed form: by
     rising ratio of limit to weight, sources stop as long as their ratio is below the level of the rest."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    ranked = sums.withColumn("nth", F.row_number().over(everything) - 1)
+    sums = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
+    total, n = sums.agg(F.sum("source_size"), F.count("*")).first()
+    few = n <= FEW
+    keyed = sums.withColumns({"void": F.col("source").isNull(), "bytes": F.coalesce(F.col("source").cast("binary"), F.lit(b"")), "one": F.lit(1)})
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = ranked.withColumn("weight", F.element_at(cycle, (F.pmod("nth", F.lit(len(weights))) + 1).cast("int"))).withColumn("limit", (epochs * F.col("source_size")).cast("double"))
-    rising = Window.orderBy(F.col("limit") / F.col("weight"), "nth")
-    before, rest = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    leveled = ranked.withColumn("level", level).withColumn("free", F.col("limit") / F.col("weight") > F.col("level"))
-    first_free = F.min(F.when(F.col("free"), F.struct((F.col("limit") / F.col("weight")).alias("r"), "nth", "level"))).over(Window.partitionBy())
-    target = F.coalesce(F.least(F.col("limit"), F.col("weight") * first_free["level"]), F.col("limit"))
-    return leveled.select("source", "nth", "source_size", target.alias("target"), F.least(F.round(target).cast("long"), epochs * F.col("source_size")).alias("quota"))
+    ranked = sums_before(keyed, ["void", "bytes"], {"nth": "one"}, few).withColumn("weight", F.element_at(cycle, (F.pmod("nth", F.lit(len(weights))) + 1).cast("int")))
+    ranked = ranked.withColumn("limit", (epochs * F.col("source_size")).cast("double")).withColumn("ratio", F.col("limit") / F.col("weight"))
+    rising = sums_before(ranked, ["ratio", "nth"], {"stopped": "limit", "passed": "weight"}, few)
+    weight = n // len(weights) * sum(weights) + sum(weights[: n % len(weights)])
+    leveled = rising.withColumn("level", (F.lit(total).cast("double") - F.col("stopped")) / (F.lit(float(weight)) - F.col("passed")))
+    level = leveled.where("ratio > level").agg(F.min(F.struct("ratio", "nth", "level"))["level"]).first()[0]
+    return rising.select("source", "nth", "docs", "source_size", F.least("limit", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def schedule(parts: DataFrame, slots: int, chunk: int = 1 << 14) -> DataFrame:
@@ -69,37 +85,38 @@ def schedule(parts: DataFrame, slots: int, chunk: int = 1 << 14) -> DataFrame:
     return owned.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["nth", "chunk"]).select("nth", "slot", (F.col("offset") + F.col("r")).alias("k"))
 
 
-def mix(sized: DataFrame, *, keep: tuple[str, ...] = (), weights=WEIGHTS, epochs: int = EPOCHS, block: int = 1024, buckets: int = 1024, seed: int = 7) -> DataFrame:
-    """sized (doc_id, source, size and the columns in keep) with source_size, target and taken."""
-    sized = staged(sized.select("doc_id", "source", "size", *keep))
-    goal = staged(targets(sized, weights, epochs).withColumn("blocks", F.ceil(F.col("quota") / block)))
-    blocks = goal.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("b")).first()["b"]
-    slots = 1 << max(0, int(blocks - 1).bit_length())
-    ahead = Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    grid = lambda c: F.floor(c.cast("decimal(38,0)") * slots / max(1, blocks)).cast("long")
-    parts = goal.withColumn("before", F.coalesce(F.sum("blocks").over(ahead), F.lit(0))).select("nth", grid(F.col("before")).alias("lo"), grid(F.col("before") + F.col("blocks")).alias("hi"))
-    dealt = schedule(parts, slots)
-
-    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("source"))
-    side = goal.withColumnRenamed("source", "_source").drop("blocks")
-    side = F.broadcast(side) if goal.count() <= BROADCAST_ROWS else side
-    rows = sized.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("mixed", mixed).withColumn("bucket", F.pmod("mixed", F.lit(buckets)))
-    sums = rows.groupBy("nth", "bucket").agg(F.sum("size").alias("n"))
+def mix(sized: DataFrame, *, keep: tuple[str, ...] = (), weights=WEIGHTS, epochs: int = EPOCHS, block: int = 1024, seed: int = 7) -> DataFrame:
+    """sized (doc_id, source, size and the columns in keep) with source_size, target, taken (the words that the mix
+    takes) and first_slot (where it first does; null if never)."""
+    alike = ["doc_id", "source", "size", *keep]
+    sized = staged(sized.select(*alike))
+    goal = staged(targets(sized, weights, epochs))
+    total, n = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
+    block, few = max(1, min(block, total >> SLOT_BITS)), n <= FEW
+    goal = sums_before(goal.withColumn("blocks", F.round(F.col("target") / block).cast("long")), ["nth"], {"lo": "blocks"}, few)
+    blocks = goal.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    dealt = staged(schedule(goal.select("nth", "lo", (F.col("lo") + F.col("blocks")).alias("hi")), 1 << max(0, int(blocks - 1).bit_length())))
+    given = dealt.groupBy("nth").agg((F.max("k") + 1).alias("given"))
+    side = goal.join(given, "nth", "left").select("nth", F.col("source").alias("_source"), "source_size", "target", F.coalesce("given", F.lit(0)).alias("given"), F.ceil(F.col("docs") / BUCKET_ROWS).alias("buckets"))
+    side = F.broadcast(side) if few else staged(side)
+    rows = sized.groupBy(*alike).agg(F.count("*").alias("copies")).join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("mixed", F.xxhash64(F.lit(seed), *alike)).withColumn("bucket", F.pmod("mixed", F.col("buckets")))
+    rows = staged(rows.withColumn("words", F.col("size") * F.col("copies")))
+    sums = rows.groupBy("nth", "bucket").agg(F.sum("words").alias("n"))
     earlier = Window.partitionBy("nth").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("nth", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("nth", "bucket").orderBy("mixed", "doc_id", *keep)
-    placed = rows.withColumn("place", F.row_number().over(within)).withColumn("ahead", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(offsets, ["nth", "bucket"]).withColumn("start", F.col("offset") + F.col("ahead")).drop("offset", "ahead", "mixed")
+    within = Window.partitionBy("nth", "bucket").orderBy("mixed", *alike)
+    placed = rows.withColumn("place", F.row_number().over(within)).withColumn("ahead", F.coalesce(F.sum("words").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.join(offsets, ["nth", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    placed = staged(placed.withColumn("start", F.col("offset") + F.col("ahead") + (F.col("copy") - 1) * F.col("size")).select(*alike, "nth", "bucket", "place", "copy", "start", "source_size", "target", "given"))
 
     # A document lies in the stream once an epoch; each of these stretches touches a range of blocks.
-    lies = placed.withColumn("at", F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
-    end = F.least(F.col("at") + F.col("size"), F.col("quota"))
-    touched = F.when(end > F.col("at"), F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block)))
-    pieces = lies.withColumn("end", end).withColumn("k", F.explode(touched))
-    overlap = F.least("end", (F.col("k") + 1) * block) - F.greatest("at", F.col("k") * block)
-    got = pieces.join(dealt, ["nth", "k"]).groupBy("nth", "bucket", "place").agg(F.sum(overlap).alias("taken"))
-    return placed.join(got, ["nth", "bucket", "place"], "left").select("doc_id", "source", *keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    lies = placed.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
+    first, last = F.floor(F.col("at") / block), F.least(F.floor((F.col("at") + F.col("size") - 1) / block), F.col("given") - 1)
+    pieces = lies.select("nth", "bucket", "place", "copy", "at", "size", F.explode(F.when((F.col("size") > 0) & (last >= first), F.sequence(first, last))).alias("k"))
+    overlap = F.least(F.col("at") + F.col("size"), (F.col("k") + 1) * block) - F.greatest("at", F.col("k") * block)
+    got = pieces.join(dealt, ["nth", "k"]).groupBy("nth", "bucket", "place", "copy").agg(F.sum(overlap).alias("taken"), F.min("slot").alias("first_slot"))
+    return placed.join(got, ["nth", "bucket", "place", "copy"], "left").select("doc_id", "source", *keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def op2_mixing(docs: DataFrame) -> DataFrame:
