@@ -90,6 +90,65 @@ def test_near_duplicates_with_one_template(spark):
     assert {r["id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i in range(600)}
 
 
+def by_brute_force(rows, percent):
+    """component of each row (id, text), in order: smallest id of the texts that links reach."""
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if find(a) != find(b) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            root[find(b)] = find(a)
+    least = {}
+    for i, (id, _) in enumerate(rows):
+        least[find(i)] = min(id, least.get(find(i), id))
+    return [least[find(i)] for i in range(len(rows))]
+
+
+def test_near_duplicates_in_many_dense_groups(spark):
+    """Groups of near copies, and texts that link only to a copy near the leader and not to the leader."""
+    r = random.Random(11)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}b{i}" for i in range(200)]
+        for k in range(45):
+            w = list(base)
+            for at in r.sample(range(200), 2):
+                w[at] = f"g{g}x{k}_{at}"
+            rows.append((len(rows), " ".join(w)))
+            if k % 5 == 0:
+                rows += [(len(rows), " ".join(w[:175])), (len(rows) + 1, " ".join([*w[:180], *[f"y{g}_{k}_{j}" for j in range(10)]]))]
+    r.shuffle(rows)
+    got = minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85)
+    assert {x["id"]: x["component_id"] for x in got.collect()} == dict(zip([i for i, _ in rows], by_brute_force(rows, 85), strict=True))
+
+
+def test_near_duplicates_by_text_where_ids_repeat(spark):
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("c")), (7, text("b") + " z"), (1, text("c") + " z"), (7, text("d")), (7, text("d"))]
+    got = minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, row="row")
+    hashes = {x["row"]: x["text"] for x in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("xxhash64(text) AS row", "text").collect()}
+    assert sorted((x["id"], hashes[x["row"]], x["component_id"]) for x in got.collect()) == sorted((i, t, c) for (i, t), c in zip(rows, by_brute_force(rows, 85), strict=True))
+
+
+def test_crossing_deals_hot_items(spark, monkeypatch):
+    monkeypatch.setattr(minhash_join, "BLOCK", 7)
+    rows = spark.createDataFrame([(i, i % 11, 100, 5, 3) for i in range(60)], "id long, root long, n long, item long, at long")
+    got = {(x["a"], x["b"]) for x in minhash_join.crossing(rows, 85).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 11 != b % 11}
+
+
+def test_sketch_cut():
+    for percent in (80, 85):
+        k = minhash_join.least_estimate(percent)
+        p = percent / 100
+        assert 0.15 < p - k < 0.25 and minhash_join.least_estimate(percent) < p
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
     got = dict(minhash_join.components(spark.createDataFrame(chain, "a long, b long")).collect())
@@ -195,6 +254,52 @@ def test_mix_takes_the_targets(docs):
         assert (by["taken"].sum() - by["target"].first()).abs().max() <= 0.5 and (got["taken"] <= 3 * got["size"]).all()
 
 
+def test_the_schedule_decides_the_mix(docs, monkeypatch):
+    sized = docs.withColumn("size", mixing.word_count(docs["text"]))
+    rows = lambda: mixing.mix(sized).toPandas().sort_values("doc_id").reset_index(drop=True)
+    whole = rows()
+    assert rows().equals(whole)
+    assert whole["first_slot"].notna().equals(whole["taken"] > 0)
+    schedule = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda parts, slots: schedule(parts, slots).where(f"slot < {slots // 2}"))
+    half = rows()
+    assert (half.groupby("source")["taken"].sum() / whole.groupby("source")["taken"].sum()).between(0.45, 0.55).all()
+    monkeypatch.setattr(mixing, "schedule", lambda parts, slots: schedule(parts, slots).selectExpr("nth", f"{slots} - slot AS slot", "k"))
+    back = rows()
+    assert back["taken"].equals(whole["taken"]) and not back["first_slot"].equals(whole["first_slot"])
+
+
+def test_mix_against_a_plain_walk_over_the_schedule(spark):
+    """Every slot in turn takes the next words of its source: what is taken of each document, and where first."""
+    r = random.Random(9)
+    items = [(r.randrange(40), r.choice(["a", "b", "c", None]), r.choice([0, 1, 7, 90])) for _ in range(120)] + [(5, "a", 7)] * 30
+    got = mixing.mix(spark.createDataFrame(items, "doc_id long, source string, size long"), block=4)
+    frame = got.toPandas()
+    assert len(frame) == len(items) and sorted(zip(frame["doc_id"], frame["source"].fillna("-"), frame["size"], strict=True)) == sorted((d, s or "-", n) for d, s, n in items)
+    for _, group in frame.groupby("source", dropna=False):
+        taken, size = group["taken"].sum(), group["source_size"].iloc[0]
+        assert abs(taken - group["target"].iloc[0]) <= 0.5 and size == group["size"].sum()
+        epochs = [taken // size, -(-taken // size)] if size else [0]
+        inside = (group["taken"] >= epochs[0] * group["size"]) & (group["taken"] <= epochs[-1] * group["size"])
+        assert inside.all() and ((group["taken"] % group["size"].clip(lower=1)) != 0).sum() <= 1  # one document is cut
+    used = frame[frame["taken"] > 0].groupby("source", dropna=False)["first_slot"].agg(["min", "count"])
+    assert (used["min"] < 64).all()  # every source comes early
+
+
+def test_sums_before(spark):
+    values = [(i, (i * 37) % 11) for i in range(200)]
+    for few in (True, False):
+        got = mixing.sums_before(spark.createDataFrame(values, "i long, v long").repartition(7), ["i"], {"before": "v"}, few).collect()
+        assert {r["i"]: r["before"] for r in got} == {i: sum(v for _, v in values[:i]) for i, _ in values}
+
+
+def test_many_sources(spark, docs, monkeypatch):
+    sized = docs.withColumn("size", mixing.word_count(docs["text"]))
+    few = mixing.mix(sized).toPandas().sort_values("doc_id").reset_index(drop=True)
+    monkeypatch.setattr(mixing, "FEW", 2)
+    assert mixing.mix(sized).toPandas().sort_values("doc_id").reset_index(drop=True).equals(few)
+
+
 def test_sentencepiece_equals_the_library():
     import sentencepiece
 

@@ -14,17 +14,22 @@ leaders were taken. Nodes whose documents are not one component after that are j
 members included: every set gives its rarest shingles, so many that linked sets must share one of them,
 and documents of different components that do so, where sizes and places allow a link, are candidates.
 
-Candidate pairs pass a sketch (sure to keep anything near the threshold); links are
-confirmed on the full sets, and components follow from them by alternating large and small stars.
+Candidate pairs pass a sketch of 128 coordinates, whose cut a pair at the threshold misses with a probability
+below LOSS; links are confirmed on the full sets, and components follow from them by alternating large and
+small stars.
+
+Counts are written before rows are joined with them: between two plain tables Spark can split a hot node.
 
 Defined cases: texts with fewer words than `width` are one shingle, the whole sequence; without words
-(or null) they have no shingle and no link. Rows with equal id share a component. A null id has no
-component and is kept. An empty table gives an empty result. Further columns are not read.
+(or null) they have no shingle and no link. Links are between texts, not ids: of rows with equal id and
+different texts each has the component of its own text, named by the smallest id in it; equal rows share
+theirs. A null id has no component and is kept. An empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,9 +42,21 @@ from .common import WordHashes, as_bytes, bounded, staged, window_hashes
 
 COORDINATES = 128
 BUCKETS = 1 << 20  # of shingles that are counted together
+LOSS = 1e-9  # chance that a sketch shows a pair at the threshold below the cut
+BLOCK = 4096  # rows of one shingle that are compared with each other in one group
 FACTORS = np.random.default_rng(97).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate that a pair of this similarity stays below with a probability under LOSS (binomial tail)."""
+    match = percent / 100 + (1 - percent / 100) / 256
+    below, k = 0.0, -1
+    while below < LOSS:
+        k += 1
+        below += math.comb(COORDINATES, k) * match**k * (1 - match) ** (COORDINATES - k)
+    return (k / COORDINATES - 1 / 256) / (1 - 1 / 256) - 1e-9
+
+
 def shingle_set(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
     words = text.lower().split() if text else []  # bytes.lower() changes A-Z only
     return np.unique(window_hashes(hashes.of(words), min(width, len(words)) or 1)) if words else np.zeros(0, np.uint64)
@@ -95,7 +112,7 @@ def exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
 
 def sized(rows: DataFrame) -> DataFrame:
     """rows with c, the size of their node; rows that are alone go."""
-    return rows.join(rows.groupBy("path").agg(F.count("*").alias("c")).where("c > 1"), "path")
+    return rows.join(staged(rows.groupBy("path").agg(F.count("*").alias("c")).where("c > 1")), "path")
 
 
 def candidates(reps: DataFrame, *, percent: int, trees: int, levels: int, small: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
@@ -118,13 +135,13 @@ def candidates(reps: DataFrame, *, percent: int, trees: int, levels: int, small:
             break
         # The leader agrees most with the commonest values of the node; a mode's buffer holds 256 values at most.
         byte = [F.substring("sketch", 16 * i + 1, 1) for i in range(8)]
-        common = dense.groupBy("path").agg(*[F.mode(b).alias(f"m{i}") for i, b in enumerate(byte)])
+        common = staged(dense.groupBy("path").agg(*[F.mode(b).alias(f"m{i}") for i, b in enumerate(byte)]))
         agree = sum((b == F.col(f"m{i}")).cast("int") for i, b in enumerate(byte))
-        lead = dense.join(common, "path").groupBy("path").agg(F.max_by("id", F.struct(agree.alias("s"), -F.col("id"))).alias("leader"))
+        lead = staged(dense.join(common, "path").select("path", "id", agree.alias("s")).groupBy("path").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("leader")))
         heads = lead.join(dense.select("path", F.col("id").alias("leader"), F.col("sketch").alias("other")), ["path", "leader"])
         compared = staged(estimated(dense.join(heads, "path").where("id <> leader")))
-        found = found.unionByName(compared.where("estimate >= %f" % (percent / 100 - 0.13)).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-        rest = staged(sized(compared.where("estimate < %f" % (percent / 100 + 0.05)).select("path", "id", "n", "sketch")))
+        found = found.unionByName(compared.where(F.col("estimate") >= least_estimate(percent)).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
+        rest = staged(sized(compared.where(F.col("estimate") < percent / 100 + 0.05).select("path", "id", "n", "sketch")))
         found = found.unionByName(exhaustive(rest.where(F.col("c") <= small), percent))
         dense = rest.where(F.col("c") > small).drop("c")
     return found.distinct(), large.select("path", "id")
@@ -133,7 +150,7 @@ def candidates(reps: DataFrame, *, percent: int, trees: int, levels: int, small:
 def unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
     """id and root of the documents in nodes that are not one component."""
     rows = large.join(roots, F.col("id") == F.col("u"), "left").select("path", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rows.groupBy("path").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("path")
+    mixed = staged(rows.groupBy("path").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("path"))
     return rows.join(mixed, "path").select("id", "root").distinct()
 
 
@@ -174,16 +191,23 @@ def prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots that share an item of their prefixes, where sizes and places allow a link."""
+    """Pairs (a, b) of different roots that share an item of their prefixes, where sizes and places allow a link.
 
-    def pairs(ids, roots, n, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    The rows of an item are dealt into parts of about BLOCK rows, and every two parts meet in a group of their own."""
+    counts = staged(rows.groupBy("item").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("item", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")))
+    dealt = rows.join(counts, "item").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    grouped = dealt.select(F.xxhash64("item", F.least("part", "other"), F.greatest("part", "other")).alias("meet"), (F.col("part") != F.col("other")).alias("across"), "part", "id", "root", "n", "at")
+
+    def pairs(across, part, ids, roots, n, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(n, kind="stable")
-        ids, roots, n, rest = ids[order], roots[order], n[order], (n - at - 1)[order]
+        part, ids, roots, n, rest = part[order], ids[order], roots[order], n[order], (n - at - 1)[order]
         names, counts = np.unique(roots, return_counts=True)
         top = roots == names[counts.argmax()]
         for i in np.flatnonzero(~top):
             span = slice(*np.searchsorted(n, [-(-percent * n[i] // 100), 100 * n[i] // percent + 1]))
             new = (roots[span] != roots[i]) & (top[span] | (np.arange(span.start, span.stop) > i))
+            if across[0]:
+                new &= part[span] != part[i]
             fits = new & ((100 + percent) * (1 + np.minimum(rest[span], rest[i])) >= percent * (n[span] + n[i]))
             other = ids[span][fits]
             yield np.minimum(other, ids[i]), np.maximum(other, ids[i])
@@ -193,16 +217,16 @@ def crossing(rows: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
         held, found, size = None, [], 0
-        for batch in chain(batches, [None]):  # sorted by item: the last item of a batch may go on in the next
+        for batch in chain(batches, [None]):  # sorted by group: the last one of a batch may go on in the next
             if batch is not None:
-                new = [batch.column(c).to_numpy() for c in ("item", "id", "root", "n", "at")]
+                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("meet", "across", "part", "id", "root", "n", "at")]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if held is None or not len(held[0]):
                 continue
             starts = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])
             ends = np.r_[starts[1:], len(held[0])]
             done = len(starts) if batch is None else len(starts) - 1
-            several = np.minimum.reduceat(held[2], starts) < np.maximum.reduceat(held[2], starts)
+            several = np.minimum.reduceat(held[4], starts) < np.maximum.reduceat(held[4], starts)
             for j in np.flatnonzero(several[:done]):
                 for pair in pairs(*[x[starts[j] : ends[j]] for x in held[1:]]):
                     found.append(pair)
@@ -214,7 +238,7 @@ def crossing(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield batch_of(found)
 
-    return rows.repartition("item").sortWithinPartitions("item").mapInArrow(run, "a long, b long").distinct()
+    return grouped.repartition("meet").sortWithinPartitions("meet").mapInArrow(run, "a long, b long").distinct()
 
 
 def estimated(pairs: DataFrame) -> DataFrame:
@@ -232,14 +256,19 @@ def estimated(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
+def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """texts (doc, row, text) of nodes (doc, row and others), one row a node, by a merge join at any size: nodes
+    grow with the corpus and are never broadcast. Equal rows have one text."""
+    return texts.join(nodes.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"])
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     one = reps.select(F.col("id").alias("a"), "sketch")
     two = reps.select(F.col("id").alias("b"), F.col("sketch").alias("other"))
-    near = staged(estimated(pairs.join(one, "a").join(two, "b")).where(f"estimate >= {percent / 100 - 0.13}").select("a", "b").distinct())
+    near = staged(estimated(pairs.join(one, "a").join(two, "b")).where(F.col("estimate") >= least_estimate(percent)).select("a", "b").distinct())
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    # Texts meet ids by a merge join at any size: ids grow with the corpus and are never broadcast.
-    sets = staged(full_sets(texts.join(ids.hint("merge"), "id").select("id", "text"), width))
+    sets = staged(full_sets(texts_of(texts, reps.select("id", "doc", "row").join(ids, "id")).select("id", "text"), width))
     both = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     meet = both.select("a", "b", (F.size("x") + F.size("y")).alias("t"), F.size(F.array_intersect("x", "y")).alias("i"))
     return meet.where(F.col("i") * 100 >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct()
@@ -252,9 +281,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = print_of(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = staged(small)
         now = print_of(edges)
@@ -266,22 +295,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, text="text", key="doc_id", width: int = 5, percent: int = 80, trees: int = 12, levels: int = 4, small: int = 16, rounds: int = 6, row: str | None = None) -> DataFrame:
     """id, n_shingles, component_id and kept for every row; with row also the xxhash64 of its text, under that name."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = staged(signatures(texts.withColumn("row", F.xxhash64("text")), width, trees * levels))
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    base = staged(signatures(texts.withColumnRenamed("doc", "id"), width, trees * levels))
     able = base.where("id is not null and n > 0")
-    classes = staged(able.groupBy("key").agg(F.min("id").alias("rep")))
-    reps = staged(able.join(classes, (able["key"] == classes["key"]) & (F.col("id") == F.col("rep"))).select("id", "n", "tokens", "sketch").dropDuplicates(["id", "tokens"]))
+    # A class is a node of the links; its number is fixed once it is written.
+    classes = staged(able.groupBy("key").agg(F.min("id").alias("doc")).withColumn("node", F.monotonically_increasing_id()))
+    firsts = able.join(classes.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("doc")))
+    reps = staged(firsts.select(F.col("node").alias("id"), "doc", "row", "n", "tokens", "sketch").dropDuplicates(["id"]))
     pairs, large = candidates(reps, percent=percent, trees=trees, levels=levels, small=small, rounds=rounds)
     links = staged(confirmed(pairs, reps, texts, percent, width))
     roots = components(links)
     if large is not None:
         left = staged(unsettled(large, roots))
         if not left.isEmpty():
-            members = staged(texts.join(left.hint("merge"), "id").select("id", "root", "text"))
-            pairs = staged(crossing(prefixes(members, percent, width), percent))
+            members = staged(texts_of(texts, left.join(reps.select("id", "doc", "row"), "id")).select("id", "root", "text"))
+            pairs = staged(crossing(staged(prefixes(members, percent, width)), percent))
             roots = components(links.unionByName(confirmed(pairs, reps, texts, percent, width)))
-    rooted = classes.join(roots, F.col("rep") == F.col("u"), "left").select("key", F.coalesce("root", "rep").alias("component"))
-    out = base.select("id", "row", "n", "key").join(rooted, "key", "left")
+    rooted = classes.join(roots, F.col("node") == F.col("u"), "left").select("key", "doc", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(staged(rooted.groupBy("root").agg(F.min("doc").alias("component"))), "root").select("key", "component")
+    out = base.select("id", "row", "n", "key").join(named, "key", "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), *([F.col("row").alias(row)] if row else [])).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
