@@ -472,6 +472,37 @@ def test_factorization_machine_learns_pairs():
     assert ((margin > 0) == y).mean() >= 0.98
 
 
+def test_toxicity_by_pairs_alone(spark):
+    """The label is 1 if exactly one of two words is there: neither tells anything by itself."""
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        w = [f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(10))}" for _ in range(20)] + ["group"] * a + ["insult"] * b
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a != b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.op5_toxicity(docs, marks).where("held_out").join(marks, "doc_id").toPandas()
+    assert len(got) > 600 and (got["predicted"] == got["toxic"]).mean() >= 0.95
+
+
+def test_margins_are_sums_over_pairs():
+    r = np.random.default_rng(8)
+    weights, factors = r.normal(size=9), r.normal(size=(9, 3))
+    sets = [sorted(r.choice(9, size=k, replace=False)) for k in (0, 1, 2, 5, 9)]
+    owner, feature = np.repeat(np.arange(5), [len(s) for s in sets]), np.concatenate(sets).astype(int)
+    want = [0.3 + sum(weights[s]) + sum(factors[a] @ factors[b] for a, b in itertools.combinations(s, 2)) for s in sets]
+    assert np.allclose(toxicity.margins(0.3, weights, factors, owner, feature, 5)[0], want)
+
+
+def test_toxicity_with_ids_labelled_often(spark):
+    docs = spark.createDataFrame([(i, f"bad words {i % 7}" if i % 2 else f"good words {i % 5}") for i in range(40)] + [(3, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3 + [(3, 1)] * 5000, "doc_id long, toxic int")
+    got = {(r["doc_id"], r["predicted"]) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert {(i, i % 2) for i in range(40) if i % 2} <= got
+
+
 def test_toxicity_on_held_out(spark):
     docs, labels = common.documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.op5_toxicity(docs, labels).where("held_out").join(labels, "doc_id").toPandas()

@@ -1,18 +1,23 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms of a text are its words (runs of letters, lower case) and their first four and five letters,
-hashed into 2^20 buckets; a text is the set of its terms. The terms that tell the labels apart best
-(by the z value of their document frequencies) become the model's inputs. The machine adds to the
-bias and the weights of a text's terms the inner products of the factors of every pair of them, so
-that it learns pairs, such as an insult beside a mention of a group, that additive weights miss.
+hashed to 31 bits; a text is the set of its terms. The machine adds to the bias and the weights of a text's
+terms the inner products of the factors of every pair of them, so that it learns pairs, such as an insult
+beside a mention of a group, that additive weights miss.
 
-Learning takes a sample bounded by `per_class` whole texts of each label; the scores are then moved to
-the share of the labels in all labelled rows. The driver sees at most max_terms counts and the kept
-terms of the sample.
+A term may enter for its weight or for its factors. Of all terms in `min_docs` texts of the sample, those
+enter whose own frequency tells the labels apart (`min_z`), and those in `pair_share` of the texts whose pairs
+do: the gradient of the loss by all factors that a term meets, seen through random signs of its partners, is larger
+than chance has it (`min_pair`). Whether the terms of pairs are kept is settled by the loss on a fifth of the
+sample that a first training leaves out: without true pairs they fit noise.
+
+Learning takes a sample bounded by `per_class` labelled ids of each label; the scores are then moved to
+the share of the labels in all labelled rows. The driver sees the counts and terms of the sample, no more.
 
 Defined cases: null and empty texts have no terms and get the score of the bias. With labels of one kind
-only, or none, every score is that share (0.0 without labels). Null labels teach nothing; a text
-labelled twice counts twice. Repeated rows and null ids are scored like any others.
+only, or none, every score is that share (0.0 without labels). Null labels teach nothing; an id labelled
+several times counts so often for the shares, and each label once in the sample; of several texts with one id the
+one with the smallest hash teaches. Repeated rows and null ids are scored like any others.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, crc_mod, staged
+from .common import bounded, crc_mod, mixed, staged
 
-BITS = 20
+BITS = 31
+PROBES = 32  # random signs of a term
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 
@@ -80,7 +86,7 @@ def margins(bias, weights, factors, owner, feature, n):
 def train(owner, feature, y, width: int, rank: int = 4, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic loss over all rows, both labels weighing the same, by Adam. Deterministic."""
     rng = np.random.default_rng(5)
-    w = [np.zeros(1), np.zeros(width), rng.normal(0, 0.02, (width, rank))]
+    w = [np.zeros(1), np.zeros(width), rng.normal(0, 0.05, (width, rank))]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for t in range(1, steps + 1):
@@ -88,7 +94,7 @@ def train(owner, feature, y, width: int, rank: int = 4, steps: int = 150, rate:
         g = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
         per = g[owner]
         slope = np.stack([np.bincount(feature, weights=per * (sums[owner, j] - w[2][feature, j]), minlength=width) for j in range(rank)], axis=1)
-        grads = [np.array([g.sum()]), np.bincount(feature, weights=per, minlength=width) + decay / width * w[1], slope + decay / width * w[2]]
+        grads = [np.array([g.sum()]), np.bincount(feature, weights=per, minlength=width) + decay / max(1, width) * w[1], slope + decay / max(1, width) * w[2]]
         for i, grad in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.999 * v[i] + 0.001 * grad * grad
@@ -96,48 +102,97 @@ def train(owner, feature, y, width: int, rank: int = 4, steps: int = 150, rate:
     return float(w[0][0]), w[1], w[2]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label="toxic", per_class: int = 10_000, max_terms: int = 4096, min_docs: int = 5, min_z: float = 4.0, rank: int = 4) -> Model:
+def pair_scores(sizes: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, chunk: int = 1000) -> np.ndarray:
+    """By how many deviations the pairs of each input move the loss more than chance: text i has sizes[i] of the
+    features, texts one after the other. For random signs u of the inputs, sum(g * x_a * sum(u_b * x_b)) over the
+    texts holds the gradients of all pairs of a; its square, over PROBES signs, is compared with its expectation."""
+    g = np.where(y == 1, -0.25 / max(1, (y == 1).sum()), 0.25 / max(1, (y == 0).sum()))
+    signs = ((mixed(np.arange(width, dtype=np.uint64), 41)[:, None] >> np.arange(PROBES, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
+    start, total, expected = np.cumsum(sizes) - sizes, np.zeros((PROBES, width)), np.zeros(width)
+    for a in range(0, len(sizes), chunk):
+        n = len(sizes[a : a + chunk])
+        f = feature[start[a] : start[a] + sizes[a : a + chunk].sum()]
+        owner = np.repeat(np.arange(n), sizes[a : a + chunk])
+        per = g[a : a + chunk][owner]
+        expected += np.bincount(f, weights=per * per * (sizes[a : a + chunk] - 1)[owner], minlength=width)
+        for j in range(PROBES):
+            u = signs[f, j]
+            total[j] += np.bincount(f, weights=per * (np.bincount(owner, weights=u, minlength=n)[owner] - u), minlength=width)
+    return ((total**2).sum(0) / np.maximum(expected, 1e-300) - PROBES) / np.sqrt(2 * PROBES)
+
+
+def chosen(sizes, feature, support):
+    """owner and feature, numbered anew, of the entries whose feature is in support (a mask)."""
+    keep = support[feature]
+    return np.repeat(np.arange(len(sizes)), sizes)[keep], (np.cumsum(support) - 1)[feature[keep]]
+
+
+def loss(margin: np.ndarray, y: np.ndarray) -> float:
+    """Logistic loss, both labels weighing the same."""
+    each = np.logaddexp(0, np.where(y == 1, -margin, margin))
+    return float(sum(each[y == v].mean() for v in (0, 1) if (y == v).any()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label="toxic", per_class: int = 10_000, min_docs: int = 5, min_z: float = 4.0, pair_share: float = 0.005, min_pair: float = 10.0, rank: int = 4) -> Model:
     empty = lambda share: Model(np.array([], np.int64), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, rank)))
     known = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
-    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
+    known = staged(known.groupBy("_id", "_y").agg(F.count("*").alias("_n")))
+    counts = {r["_y"]: (r["n"], r["ids"]) for r in known.groupBy("_y").agg(F.sum("_n").alias("n"), F.count("*").alias("ids")).collect()}
+    total = sum(n for n, _ in counts.values())
     if len(counts) < 2:
-        return empty(counts.get(1, 0) / max(1, total))
-    rate = F.when(F.col("_y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
-    drawn = known.where(F.pmod(F.xxhash64("_id", F.lit(23)), F.lit(1 << 20)) < rate * (1 << 20))
-    # About two times per_class rows of two numbers: small at any input size.
-    joined = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+        return empty(counts.get(1, (0, 0))[0] / max(1, total))
+    odds = float(np.log(counts[1][0] / counts[0][0]))
+    rate = F.when(F.col("_y") == 1, min(1.0, per_class / counts[1][1])).otherwise(min(1.0, per_class / counts[0][1]))
+    drawn = staged(known.where(F.pmod(F.xxhash64("_id", F.lit(23)), F.lit(1 << 20)) < rate * (1 << 20)).select("_id", "_y"))
+    few = drawn.count() <= 4 * per_class + 1000  # two numbers a row, about 2 * per_class rows
+    joined = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn) if few else drawn, "_id").withColumn("_h", F.xxhash64("_text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in bounded(batches, "_text", 4 << 20):
             found = term_sets(batch.column("_text").to_pylist(), terms)
-            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array([sorted(s) for s in found], pa.list_(pa.int32()))], names=["y", "terms"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_y", "_h")), pa.array([sorted(s) for s in found], pa.list_(pa.int32()))], names=["id", "y", "h", "terms"])
 
-    sample = staged(joined.mapInArrow(features, "y int, terms array<int>"))
+    kind = joined.schema["_id"].dataType.simpleString()
+    each = joined.select("_id", "_y", "_h", "_text").mapInArrow(features, f"id {kind}, y int, h long, terms array<int>")
+    sample = staged(each.groupBy("id", "y").agg(F.min_by("terms", "h").alias("terms")))
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return empty(counts[1] / total)
+        return empty(counts[1][0] / total)
     df = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     p, q, mean = F.col("a") / n1, (F.col("n") - F.col("a")) / n0, F.col("n") / (n1 + n0)
     z = F.abs(p - q) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-12)
-    best = df.select("term", z.alias("z")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    inputs = np.array(sorted(r["term"] for r in best), np.int64)
-    if not len(inputs):
-        return empty(counts[1] / total)
+    apart, often = z >= min_z, F.col("n") >= pair_share * (n1 + n0)
+    found = df.select("term", apart.alias("apart"), often.alias("often")).where("apart or often").orderBy("term").toArrow()
+    inputs, apart, often = found["term"].to_numpy(), found["apart"].to_numpy(), found["often"].to_numpy()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.flatnonzero(np.isin(inputs, x)).tolist() for x in batch.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["y", "inputs"])
-
-    rows = sorted((r["y"], tuple(r["inputs"])) for r in sample.mapInArrow(kept, "y int, inputs array<int>").toLocalIterator())
-    y = np.array([r[0] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    feature = np.array([i for r in rows for i in r[1]], np.int64)
-    bias, weights, factors = train(owner, feature, y, len(inputs), rank)
-    return Model(inputs, bias + float(np.log(counts[1] / counts[0])), weights, factors)
+            rows = [np.flatnonzero(np.isin(inputs, x, assume_unique=True)).tolist() for x in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["id", "y", "inputs"])
+
+    rows = sample.mapInArrow(kept, f"id {kind}, y int, inputs array<int>").orderBy("id", "y").toArrow().combine_chunks()
+    y, lists = rows["y"].to_numpy(), rows["inputs"].combine_chunks()
+    sizes, feature = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    pairs = often & (pair_scores(sizes, feature, y, len(inputs)) >= min_pair)
+
+    def trained(support: np.ndarray, rows: np.ndarray):
+        """The machine over these inputs, learned from these rows, and its margins of all rows."""
+        owner, f = chosen(sizes, feature, support)
+        some = rows[owner]
+        found = train((np.cumsum(rows) - 1)[owner[some]], f[some], y[rows], int(support.sum()), rank)
+        return found, margins(*found, owner, f, len(y))[0]
+
+    every, first = np.ones(len(y), bool), mixed(np.arange(len(y), dtype=np.uint64), 43) % np.uint64(5) != 0
+    support = apart
+    if (pairs & ~apart).any() and len(set(y[first])) == len(set(y[~first])) == 2:
+        alone, both = (loss(trained(s, first)[1][~first], y[~first]) for s in (apart, apart | pairs))
+        support = apart | pairs if both < alone else apart
+    if not support.any():
+        return empty(counts[1][0] / total)
+    bias, weights, factors = trained(support, every)[0]
+    return Model(inputs[support].astype(np.int64), bias + odds, weights, factors)
 
 
 def score(docs: DataFrame, model: Model, *, text="text", keep=("doc_id",)) -> DataFrame:
