@@ -173,11 +173,29 @@ def brute_passages(data, size):
 
 def test_passages(docs):
     data = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for size in (50, 9):
+    for size in (50, 9, 3):
         got = {r["doc_id"]: r["kept"] for r in substring_dedup.remove(docs, size=size).collect()}
         assert got == brute_passages(data, size)
 
 
+def test_passages_by_row_where_ids_repeat(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c = text("a"), text("b"), text("c")
+    items = [(1, a), (2, a), (2, b), (2, f"{c} {a} {b}"), (2, f"{c} {a} {b}"), (3, b), (3, f"{text('d')} {c}"), (None, a), (None, b)]
+    got = substring_dedup.remove(spark.createDataFrame(items, "doc_id long, text string"))
+    want = [(1, a), (2, ""), (2, b), (2, f"{c} {b}"), (2, f"{c} {b}"), (3, ""), (3, text("d")), (-1, a), (-1, b)]
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["kept"]) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 13, 50, 51])
+def test_levels_reach_every_full_window(size):
+    short, half, full = substring_dedup.lengths(size)
+    assert full == size and short <= half <= 2 * short and half <= size <= 2 * half
+    for anchor in range(size - short + 1):  # the short window's place in a full one
+        after, before = anchor + half <= size and anchor <= size - half, anchor > size - half
+        assert after != before and (after or anchor + short - half >= 0)
+
+
 def test_passages_digest(docs):
     data = brute_passages({r["doc_id"]: r["text"] for r in docs.collect()}, 50)
     got = {r["doc_id"]: r["kept_sha256"] for r in substring_dedup.op8_substring_dedup(docs).collect()}
