@@ -474,6 +474,33 @@ def test_mixed_language_spans(spark):
     assert (row["spans"][0]["first"], row["spans"][0]["last"]) == (0, n - 1)
 
 
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(3)
+    for width, switch in ((1, 2.0), (2, 1.5), (3, 0.7)):
+        lengths = np.array([0, 1, 5, 3, 0, 6, 2])
+        scores = r.normal(size=(lengths.sum(), width)).round(1)
+        scores[r.random(scores.shape) < 0.3] = -np.inf
+        scores[np.isinf(scores).all(1), 0] = 0
+        got, at = langid.viterbi(scores, lengths, switch), 0
+        for n in lengths:
+            part, path = scores[at : at + n], got[at : at + n].tolist()
+            value = lambda p, part=part: sum(part[i, x] for i, x in enumerate(p)) - switch * sum(a != b for a, b in itertools.pairwise(p))
+            best = max(map(value, itertools.product(range(width), repeat=int(n))))
+            assert value(path) == pytest.approx(best) and np.isfinite(best)
+            at += n
+
+
+def test_scripts_rule_languages_out(spark):
+    english = "the weather was good and they walked along the river with their friends"
+    russian = "погода была хорошая и они гуляли вдоль реки со своими друзьями"
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([(english, "en"), (russian, "ru")] * 20)], "doc_id long, text string, lang string")
+    text = f"{english} погода {english} γλώσσα {english}"
+    row = langid.label(spark.createDataFrame([(0, text)], "doc_id long, text string"), langid.fit(docs), spans=True).first()
+    n = len(english.split())
+    assert [(s["first"], s["last"], s["lang"]) for s in row["spans"]][:2] == [(0, n - 1, "en"), (n, n, "ru")]
+    assert row["spans"][2]["lang"] == "en"  # Greek is usual in neither: the word goes with its neighbours or to either
+
+
 def test_language_accuracy(spark):
     docs = common.documents(spark, SF)
     got = langid.op1_language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

@@ -1,12 +1,13 @@
 """Language identification of whole, possibly mixed-language texts.
 
-Each run of letters is a word. The script of its first letter narrows the candidate languages; the
+Each run of letters is a word. The script of its first letter narrows the candidate languages to those
+in whose texts it is usual (all, where it is so in none); no other can label the word. The
 candidates get a score from hashed character n-grams; Viterbi over the words, with a penalty for
 each switch, labels spans; the language with most letters names the text.
 
 Defined cases: a null text or one without letters is `und` with score 0 and no spans. With nothing
 learned (no labelled rows) every text is `und`. Equal letter counts go to the language that comes
-first by code point. Null and repeated doc_ids, and any further columns, pass through untouched.
+first by code point; of equal paths the one that stays in a language wins, then that of the first language. Null and repeated doc_ids, and any further columns, pass through untouched.
 """
 
 from __future__ import annotations
@@ -132,7 +133,8 @@ class Vocabulary(dict):
         return i
 
     def settle(self):
-        """Scores of the words met since the last call: mean log-likelihoods below the best candidate's, cut off."""
+        """Scores of the words met since the last call: mean log-likelihoods below the best candidate's, cut off
+        at -clip; languages that the word's script rules out have -inf, which no switching penalty outweighs."""
         if not self.new:
             return
         n = len(self)
@@ -147,10 +149,10 @@ class Vocabulary(dict):
             sums /= np.sqrt(np.bincount(owner, minlength=len(words)))[:, None]
             fits = self.model.script_ok[script_ids(first)]
             fits = fits | ~fits.any(1, keepdims=True)
-            sums = np.where(fits, sums, -np.inf)
-            sums = np.maximum(sums - sums.max(1, keepdims=True), -self.model.clip)
+            best = np.where(fits, sums, -np.inf).max(1, keepdims=True)
+            sums = np.where(fits, np.maximum(sums - best, -self.model.clip), -np.inf)
             letters = np.fromiter((sum(map(str.isalpha, w)) for w in words), np.int32, len(words))
-            sums[letters == 0] = 0
+            sums[letters == 0] = 0  # numerals and the like belong to no script
             at = n - len(self.new) + a
             self.scores[at : at + len(words)] = sums
             self.letters[at : at + len(words)] = letters
