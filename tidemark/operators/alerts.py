@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,14 +82,26 @@ def run_all(gov: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
 
 
 def evaluate_rule(spark, condition: str, **tables: DataFrame) -> bool:
-    """Whether the first cell of the SQL condition is true; one that fails is false. Tables are named {like_this}."""
+    """Whether the first cell of the SQL condition is true; one that fails is false and leaves a warning. Tables
+    are named {like_this}."""
+    return bool(_fires(spark, condition, tables)[0])
+
+
+def _fires(spark, condition: str, tables: dict[str, DataFrame]) -> tuple[bool, bool]:
+    """Whether the condition holds, and whether it could not be run."""
     from pyspark.errors import PySparkException
 
     try:
         row = spark.sql(condition, **tables).first()
-    except PySparkException:
-        return False
-    return bool(row and row[0] is True)
+    except PySparkException as e:
+        logging.getLogger(__name__).warning("rule %r failed: %s", condition, str(e)[:200])
+        return False, True
+    return bool(row and row[0] is True), False
+
+
+def evaluate_rules(spark, rules: list[tuple[str, str]], **tables: DataFrame) -> DataFrame:
+    """Rule, fires and failed for each user rule (name, SQL condition), every one a query of its own."""
+    return spark.createDataFrame([(name, *_fires(spark, condition, tables)) for name, condition in rules], "rule string, fires boolean, failed boolean")
 
 
 def listing(alerts: DataFrame, *, kind: str | None = None, severity: str | None = None, limit: int = 100) -> DataFrame:

@@ -22,6 +22,11 @@ def parse(log: DataFrame, keys: str, image: str) -> DataFrame:
     return parsed.select(*rest, "_k.*", "_v.*", "has")
 
 
+def known(changes: DataFrame) -> DataFrame:
+    """Changes that insert, update or delete; a null or another operation says nothing about the row."""
+    return changes.where(F.col("operation").isin("I", "U", "D"))
+
+
 def keyed(changes: DataFrame, keys: list[str]) -> DataFrame:
     """Changes whose key parts are all there."""
     return changes.dropna(subset=keys, how="any")
@@ -44,14 +49,15 @@ def delete_by_key(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFr
 
 
 def row_hash(columns: list[str]) -> Column:
-    """md5 of the columns as text, joined by |, null as nothing."""
+    """md5 of the columns as text, joined by |, null as nothing. Rows that differ in nulls or bars can share it, so
+    it serves as a key of rows without one and decides no equality here."""
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
 def delete_by_image(target: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """Target without the rows that equal an image in gone."""
-    h = target.withColumn("_h", row_hash(columns))
-    return h.join(gone.select(row_hash(columns).alias("_h")).distinct(), "_h", "left_anti").select(*target.columns)
+    """Target without the rows that equal an image in gone; null equals null and nothing else."""
+    images = gone.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(columns)]).distinct()
+    return target.join(images, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(columns)]), "left_anti")
 
 
 def complete(changes: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -63,8 +69,8 @@ def complete(changes: DataFrame, source: DataFrame, keys: list[str], columns: li
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Target after a batch: the last change of a key decides; one full outer join on the key."""
-    last = latest(keyed(changes, keys), keys).select(*keys, F.col("operation").alias("_op"), *[F.col(c).alias(f"_n_{c}") for c in columns])
+    """Target after a batch: the last known change of a key decides; one full outer join on the key."""
+    last = latest(keyed(known(changes), keys), keys).select(*keys, F.col("operation").alias("_op"), *[F.col(c).alias(f"_n_{c}") for c in columns])
     joined = target.withColumn("_there", F.lit(True)).join(last, keys, "full_outer")
     fresh = F.col("_op").isNotNull()
     return joined.where(~fresh | (F.col("_op") != "D")).select(*keys, *[F.when(fresh, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
@@ -72,21 +78,23 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], column
 
 def apply_versioned(target: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """apply_changes that may be replayed: target keeps _change_id and _deleted, and older changes do nothing."""
-    last = latest(keyed(changes, keys), keys)
+    last = latest(keyed(known(changes), keys), keys)
     rows = last.select(*keys, *columns, F.col("change_id").alias("_change_id"), (F.col("operation") == "D").alias("_deleted"))
     return latest(target.select(*keys, *columns, "_change_id", "_deleted").unionByName(rows), keys, "_change_id")
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The change log between two versions: operation, key and image as JSON."""
+    """The change log between two versions: operation, key and image as JSON. Columns and keys are compared
+    themselves, null equal to null only."""
     columns = [c for c in new.columns if c not in keys]
-    a = old.select(*keys, row_hash(columns).alias("_o"), *[F.col(c).isNull().alias(f"_on_{c}") for c in columns])
-    b = new.select(*keys, *columns, row_hash(columns).alias("_h"))
-    joined = a.join(b, keys, "full_outer")
-    changed = reduce(lambda x, y: x | y, [F.col(f"_on_{c}") != F.col(c).isNull() for c in columns], F.col("_o") != F.col("_h"))
-    op = F.when(F.col("_o").isNull(), "I").when(F.col("_h").isNull(), "D").when(changed, "U")
+    a = old.select(*[F.col(c).alias(f"_o_{c}") for c in [*keys, *columns]], F.lit(True).alias("_old"))
+    b = new.select(*keys, *columns, F.lit(True).alias("_new"))
+    every = lambda names: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in names], F.lit(True))
+    joined = a.join(b, every(keys), "full_outer")
+    op = F.when(F.col("_old").isNull(), "I").when(F.col("_new").isNull(), "D").when(~every(columns), "U")
     image = F.when(op != "D", F.to_json(F.struct(*columns)))
-    return joined.withColumn("operation", op).where("operation is not null").select("operation", F.to_json(F.struct(*keys)).alias("pk_values"), image.alias("row_data"), *keys)
+    found = joined.withColumn("operation", op).where("operation is not null").withColumn("row_data", image)
+    return found.select("operation", "row_data", *[F.when(F.col("_new"), F.col(k)).otherwise(F.col(f"_o_{k}")).alias(k) for k in keys]).select("operation", F.to_json(F.struct(*keys)).alias("pk_values"), "row_data", *keys)
 
 
 def changed_fields(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

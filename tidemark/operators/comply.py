@@ -53,19 +53,29 @@ def subject_columns(columns: DataFrame) -> DataFrame:
     return columns.where(F.col("contains_pii") | F.lower("column_name").rlike("email|name|user|person")).select("table_name", "column_name").distinct()
 
 
+def holding(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """df with the request_id of each name (request_id, _n) that the column holds, whatever its case. Names meet by
+    their first three characters (fewer if they are shorter), so that few texts are searched for a name."""
+    lower = F.lower(column)
+    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lower) - n + 1)), lambda i: F.substring(lower, i, F.lit(n))))
+    start = names.withColumn("_gram", F.substring("_n", 1, 3))
+    found = []
+    for n in sorted(r[0] for r in start.select(F.length("_gram")).distinct().collect()):  # 1 to 3
+        pairs = df.withColumn("_gram", F.explode(grams(n))).join(start.where(F.length("_gram") == n), "_gram")
+        found.append(pairs.where(F.contains(lower, F.col("_n"))).select("request_id", *df.columns))
+    return reduce(DataFrame.unionByName, found) if found else df.limit(0).select(F.lit(None).cast(names.schema["request_id"].dataType).alias("request_id"), *df.columns)
+
+
 def subject_matches(df: DataFrame, requests: DataFrame, *, email: list[str], name: list[str]) -> DataFrame:
     """Rows of df that belong to subjects, with request_id: an address column equals the address (whatever its case),
-    or a name column holds the name. Requests without both raise no rows. Addresses meet by an equi-join; names,
-    which need a substring test, are few requests and are broadcast only up to 10000 of them."""
+    or a name column holds the name. Requests without both raise no rows. All meet by equi-joins; rows that several
+    columns find, or that are equal, come once."""
     found = []
     wanted = requests.where("email is not null").select("request_id", F.lower("email").alias("_e"))
     for c in email:
         found.append(df.join(wanted, F.lower(c) == F.col("_e")).select("request_id", *df.columns))
     named = requests.where("full_name is not null and full_name <> ''").select("request_id", F.lower("full_name").alias("_n"))
-    if name and named.count() > 10_000:
-        raise ValueError("more than 10000 requests by name: give addresses")
-    for c in name:
-        found.append(df.join(F.broadcast(named), F.contains(F.lower(c), F.col("_n"))).select("request_id", *df.columns))
+    found += [holding(df, c, named) for c in name]
     return reduce(DataFrame.unionByName, found).distinct()
 
 

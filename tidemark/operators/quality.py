@@ -13,11 +13,11 @@ def _numeric(f: T.StructField) -> bool:
     return isinstance(f.dataType, T.NumericType)
 
 
-def profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame, *, exact: bool = False) -> DataFrame:
     """a row for each column: rows, nulls, distinct values, smallest, largest and mean of numbers.
 
-    One aggregate over one scan. exact=False counts distinct values approximately, without the expansion
-    of rows that exact counts of many columns need."""
+    One aggregate over one scan. Distinct values are counted approximately; exact counts of many columns at once make
+    Spark expand each row once a column, which exact=True accepts."""
     count = F.count_distinct if exact else F.approx_count_distinct
     parts = [F.count("*").alias("rows")]
     for i, f in enumerate(df.schema):

@@ -11,12 +11,25 @@ from pyspark.sql import types as T
 from ..functions import pii
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where its files make fewer tasks than there are cores; the patterns' work outweighs the shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def content(df: DataFrame, value: str, keep: list[str]) -> DataFrame:
+    """Keep, is_pii, is_phi and category of each value; every pattern is tried once at most."""
+    v = F.col(value)
+    named = df.select(*keep, v, pii.pii_category(v).alias("category"))
+    return named.select(*keep, pii.pii_by_content(v, F.col("category")).alias("is_pii"), pii.phi_by_content(v).alias("is_phi"), "category")
+
+
 def verdicts(df: DataFrame, name: str, *, ratio: float = 0.1) -> DataFrame:
     """A row for each text column: shares of values with personal or health data over all rows, method, category, confidence."""
     columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    hit, phi = pii.pii_by_content(F.col("v")), pii.phi_by_content(F.col("v"))
-    stats = long.groupBy("column_name").agg(F.count("*").alias("values"), F.count_if(hit).alias("pii_hits"), F.count_if(phi).alias("phi_hits"), *[F.count_if(hit & (pii.pii_category(F.col("v")) == k)).alias(k) for k in CATEGORIES])
+    judged = content(long, "v", keep=["column_name"])
+    stats = judged.groupBy("column_name").agg(F.count("*").alias("values"), F.count_if("is_pii").alias("pii_hits"), F.count_if("is_phi").alias("phi_hits"), *[F.count_if(F.col("is_pii") & (F.col("category") == k)).alias(k) for k in CATEGORIES])
     by_content = F.col("pii_hits") > ratio * F.col("values")
     is_pii, phi_content = by_content | pii.pii_by_name(F.col("column_name")), F.col("phi_hits") > ratio * F.col("values")
     is_phi = phi_content | pii.phi_by_name(F.col("column_name"))
@@ -33,8 +46,8 @@ CATEGORIES = ["EMAIL", "PHONE", "SSN", "CREDIT_CARD", "ZIP_CODE", "IDENTIFIER"]
 
 def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     """How often each pattern occurs in each text, where it does."""
-    counts = [F.struct(F.lit(k).alias("category"), F.regexp_count(F.col(text), F.lit(p)).alias("n")) for k, p in pii.PATTERNS.items()]
-    return df.select(key, F.explode(F.array(*counts)).alias("x")).select(key, "x.category", F.col("x.n").cast("long").alias("n")).where("n > 0")
+    counts = [F.struct(F.lit(k).alias("category"), pii.count_of(F.col(text), k).alias("n")) for k in pii.PATTERNS]
+    return spread(df.select(key, text)).select(key, F.explode(F.array(*counts)).alias("x")).select(key, "x.category", F.col("x.n").cast("long").alias("n")).where("n > 0")
 
 
 def classify(tables: DataFrame, rules: DataFrame, kind: str, default: str) -> DataFrame:

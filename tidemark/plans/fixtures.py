@@ -49,6 +49,12 @@ FIXTURES = {
         ', "props": ' || props || ', "tags": [1, 2]}' AS doc FROM {events}""",
     "bodies": """SELECT c_nationkey AS body_id, CASE c_nationkey % 4 WHEN 0 THEN '[' || items || ']' WHEN 1 THEN '{"data": [' || items || ']}' WHEN 2 THEN '{"results": [' || items || '], "page": 1}' ELSE '{"id": ' || cast(c_nationkey AS string) || ', "segment": "single"}' END AS body
         FROM (SELECT c_nationkey, string_agg('{"id": ' || cast(c_custkey AS string) || ', "segment": "' || c_mktsegment || '"' || CASE WHEN c_custkey % 3 = 0 THEN ', "bal": ' || cast(cast(c_custkey AS double) / 2 + 0.25 AS string) ELSE '' END || '}', ',') AS items FROM {customer} GROUP BY c_nationkey) AS g""",
+    # Versions of a table whose images differ only in nulls, empty texts and bars.
+    "notes_old": """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'x|' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'x' END AS a, CASE c_custkey % 3 WHEN 0 THEN 'y' WHEN 1 THEN '' ELSE NULL END AS b FROM {customer}""",
+    "notes_new": """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE 'x|' END WHEN 1 THEN NULL WHEN 2 THEN '' ELSE 'x' END AS a, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey % 4 = 0 THEN '|y' ELSE 'y' END WHEN 1 THEN '' ELSE NULL END AS b FROM {customer}""",
+    # Personal data side by side, with one character between.
+    "contacts": """SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '12345 67890 12345' WHEN 1 THEN '123-45-6789 123456789 123-456789' WHEN 2 THEN '10.0.0.1 10.0.0.2 10.0.0.3' WHEN 3 THEN 'a.b@c.org;d@e.com9@f.net g@@h.de'
+        WHEN 4 THEN '1234-5678-1234-5678 1234 5678 1234 5678 1234567812345678' WHEN 5 THEN '90210-1234 90210-12345 x90210 90210y 90210' WHEN 6 THEN '1.2.3.4.5.6.7.8.9' ELSE 'none ' || cast(c_custkey AS string) END AS note FROM {customer}""",
     # Governance rows: one table a part.
     "gov": """SELECT 's' || cast(p_partkey % 7 AS string) AS schema_name, 't' || cast(p_partkey AS string) AS table_name, CASE p_partkey % 4 WHEN 0 THEN 'MariaDB' WHEN 1 THEN 'MSSQL' WHEN 2 THEN 'PostgreSQL' ELSE 'MongoDB' END AS db_engine,
         cast(p_partkey * 37 % 1000 AS double) / 10 AS null_percentage, cast(p_partkey * 53 % 700 AS double) / 10 AS duplicate_percentage, cast(CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_partkey * 71 % 1000 END AS double) / 10 AS fragmentation_percentage,

@@ -237,6 +237,12 @@ def l10(t):
     return t.spark.sql(rule, events=t.events)
 
 
+@query("l10_evaluated", """SELECT 'many' AS rule, (SELECT count(*) > 100 FROM events) AS fires, false AS failed UNION ALL SELECT 'errors prevail', (SELECT count(*) FILTER (event_type = 'error') * 2 > count(*) FROM events), false UNION ALL SELECT 'broken', false, true UNION ALL SELECT 'void', false, false""")
+def l10_evaluated(t):
+    rules = [("many", "SELECT count(*) > 100 FROM {events}"), ("errors prevail", "SELECT count_if(event_type = 'error') * 2 > count(*) FROM {events}"), ("broken", "SELECT no_such_column FROM {events}"), ("void", "SELECT cast(null AS boolean) FROM {events}")]
+    return alerts.evaluate_rules(t.spark, rules, events=t.events)
+
+
 @query("l12_messages", "SELECT event_id, 'Alert' || ' - ' || schema_name || '.' || table_name || CASE WHEN column_name = 'email' THEN '' ELSE '.' || column_name END || ' - ' || access_type AS m FROM {access_log}")
 def l12(t):
     column = F.nullif("column_name", F.lit("email"))

@@ -85,9 +85,9 @@ def a11(t):
     return scan.script_rows(rows, _metric_rows, "nation string, metric string, value long")
 
 
-@query("a12_tables")
+@query("a12_tables", "SELECT table_name, count(*) AS columns FROM information_schema.columns WHERE table_schema = 'main' GROUP BY 1")
 def a12(t):
-    return scan.tables(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in ("orders", "lineitem", "documents")})
+    return scan.folder_tables(t.spark, t.sf_dir)
 
 
 @query("a13_time_column", """WITH c AS (SELECT table_name, CASE WHEN column_name = 'made' THEN 'Created_At' WHEN column_name = 'extra' THEN 'updated_time' ELSE column_name END AS column_name FROM {columns_source})
@@ -274,6 +274,17 @@ def d7(t):
     return cdc.diff(t.orders_old, t.orders_new, ["o_orderkey"])
 
 
+@query("d4_images_told_apart", "SELECT o.id, o.a, o.b FROM {notes_old} o WHERE NOT EXISTS (SELECT 1 FROM {notes_new} n WHERE n.id = o.id AND n.a IS NOT DISTINCT FROM o.a AND n.b IS NOT DISTINCT FROM o.b)")
+def d4_images(t):
+    return cdc.delete_by_image(t.notes_old, t.notes_new, ["id", "a", "b"])
+
+
+@query("d7_changes_told_apart", "SELECT 'U' AS operation, n.id, n.a, n.b FROM {notes_new} n JOIN {notes_old} o ON n.id = o.id WHERE n.a IS DISTINCT FROM o.a OR n.b IS DISTINCT FROM o.b")
+def d7_changes(t):
+    image = F.from_json("row_data", "a string, b string")
+    return cdc.diff(t.notes_old, t.notes_new, ["id"]).select("operation", "id", image["a"].alias("a"), image["b"].alias("b"))
+
+
 @query("d8_complete", f"WITH {PARSED} SELECT change_id, p.user_id, CASE WHEN has_cents THEN p.cents ELSE s.cents END AS cents, CASE WHEN has_kind THEN p.kind ELSE s.kind END AS kind FROM p LEFT JOIN {{users_source}} s ON p.user_id = s.user_id")
 def d8(t):
     changes = cdc.parse(t.change_log, KEYS, IMAGE).select("change_id", "user_id", "cents", "kind", "has")

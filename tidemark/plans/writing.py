@@ -31,8 +31,9 @@ def b2(t):
 @query("b3_merged_versions", "SELECT user_id, cents, kind FROM {users_source} UNION ALL SELECT user_id, cents, kind FROM {users_before} WHERE user_id NOT IN (SELECT user_id FROM {users_source})")
 def b3(t):
     path = scratch.folder(t.spark, "versions")
-    sinks.publish(t.users_before, path, 0)
-    sinks.publish(sinks.upserted(sinks.current(t.spark, path), t.users_source, ["user_id"]), path, 1)
+    sinks.publish(t.users_before, path, 0, keys=["user_id"], buckets=8)
+    sinks.publish(sinks.upserted(sinks.current(t.spark, path), t.users_source, ["user_id"]), path, 1, keys=["user_id"], buckets=8)
+    sinks.prune(t.spark, path, keep=1)
     return sinks.current(t.spark, path)
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
     """A1: a Parquet table; columns and condition reach the scan."""
@@ -82,10 +84,18 @@ def script_rows(inputs: DataFrame, script: Callable[[dict], list[dict]], schema:
     return inputs.mapInPandas(run, schema)
 
 
-def tables(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Name, columns and size of tables by path (metadata only: file sizes come from the scan's metadata column)."""
-    parts = [spark.read.parquet(p).select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes")).select(F.lit(n).alias("table_name"), "files", "bytes") for n, p in paths.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+# Schemas of database systems themselves.
+SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_toast", "pg_temp_1", "pg_toast_temp_1", "mysql", "performance_schema", "sys", "guest", "admin", "local", "config")
+
+
+def folder_tables(spark: SparkSession, folder: str, suffix: str = ".parquet") -> DataFrame:
+    """table_name and columns of every table in a folder, in any store that Spark reads; schemas only, no rows."""
+    found = [(n.removesuffix(suffix), len(spark.read.parquet(f"{folder}/{n}").columns)) for n in sorted(scratch.children(spark, folder)) if n.endswith(suffix)]
+    return spark.createDataFrame(found, "table_name string, columns long")
+
+
+def catalog_tables(spark: SparkSession, exclude: tuple[str, ...] = SYSTEM_SCHEMAS) -> DataFrame:
+    """schema_name, table_name and kind of the catalog's tables and views, without those of system schemas."""
+    schemas = [d.name for d in spark.catalog.listDatabases() if d.name.lower() not in exclude]
+    found = [(s, t.name, t.tableType) for s in schemas for t in spark.catalog.listTables(s) if not t.isTemporary]
+    return spark.createDataFrame(sorted(found), "schema_name string, table_name string, kind string")

@@ -1,4 +1,4 @@
-"""Folders for intermediate tables that all executors see."""
+"""Folders for intermediate tables that all executors see, and what Spark's own file systems hold."""
 
 from __future__ import annotations
 
@@ -9,9 +9,24 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one is made only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, and a
+    cluster, whose executors would each write to their own disk, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reads; none if there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,7 +1,9 @@
 """Streaming apply of change logs and document streams.
 
-Micro-batches become versions of a table keyed by batch id. Rows carry the change that made them, and
-deletes stay as tombstones, so a batch that is replayed after a failure changes nothing."""
+A micro-batch rewrites the buckets of the keys it changes and publishes them as a version numbered by batch id. Rows
+carry the change that made them, and deletes stay as tombstones, so a batch that is replayed after a failure
+changes nothing. Versions older than the last few are removed; compact() drops tombstones when no batch can
+be replayed any more."""
 
 from __future__ import annotations
 
@@ -20,15 +22,22 @@ def read_changes(spark: SparkSession, folder: str, schema: str, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def apply_stream(changes: DataFrame, table: str, checkpoint: str, *, keys: list[str], columns: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Parsed changes applied to the table until no file is left (availableNow); prepare shapes a batch first."""
+def apply_stream(changes: DataFrame, table: str, checkpoint: str, *, keys: list[str], columns: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64, keep: int = 2) -> StreamingQuery:
+    """Parsed changes applied to the table until no file is left (availableNow); prepare shapes a batch first.
+    buckets is the table's for good; more of them make a batch with few keys rewrite less."""
 
     def one(batch: DataFrame, n: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        before = sinks.current(batch.sparkSession, table)
+        spark = batch.sparkSession
+        rows = cdc.latest(cdc.keyed(cdc.known(prepare(batch) if prepare else batch), keys), keys).select(*keys, *columns, "change_id", "operation").persist()
+        touched = {r[0] for r in rows.select(sinks.bucket_of(keys, buckets)).distinct().collect()}  # buckets at most
+        before = sinks.current(spark, table, touched)
         if before is None:
             before = rows.limit(0).select(*keys, *columns, F.col("change_id").alias("_change_id"), F.lit(False).alias("_deleted"))
-        sinks.publish(cdc.apply_versioned(before, rows, keys, columns), table, n)
+        first = not sinks.manifests(spark, table)
+        if touched or first:
+            sinks.publish(cdc.apply_versioned(before, rows, keys, columns), table, n, keys=keys, buckets=buckets, whole=first)
+            sinks.prune(spark, table, keep)
+        rows.unpersist()
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,6 +47,12 @@ def live(spark: SparkSession, table: str) -> DataFrame:
     return sinks.current(spark, table).where("not _deleted").drop("_deleted", "_change_id")
 
 
+def compact(spark: SparkSession, table: str, n: int, *, keys: list[str], buckets: int = 64, before: int) -> None:
+    """Publish version n without the tombstones of changes up to `before`, which no later batch may bring again."""
+    rows = sinks.current(spark, table).where(~(F.col("_deleted") & (F.col("_change_id") <= before)))
+    sinks.publish(rows, table, n, keys=keys, buckets=buckets)
+
+
 def document_changes(stream: DataFrame) -> DataFrame:
     """A document change stream (change_id, kind, doc) as changes keyed by _id."""
     id = F.coalesce(F.get_json_object("doc", "$._id['$oid']"), F.get_json_object("doc", "$._id"))
