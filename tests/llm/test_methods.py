@@ -137,11 +137,24 @@ def test_near_duplicates_by_text_where_ids_repeat(spark):
 
 def test_crossing_deals_hot_items(spark, monkeypatch):
     monkeypatch.setattr(minhash_join, "BLOCK", 7)
-    rows = spark.createDataFrame([(i, i % 11, 100, 5, 3) for i in range(60)], "id long, root long, n long, item long, at long")
+    rows = spark.createDataFrame([(i, i % 11, 100, bytes(256), 5, 3) for i in range(60)], "id long, root long, n long, bits binary, item long, at long")
     got = {(x["a"], x["b"]) for x in minhash_join.crossing(rows, 85).collect()}
     assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 11 != b % 11}
 
 
+def test_bitmaps_let_similar_sets_pass():
+    r = np.random.default_rng(7)
+    for n in (1, 3, 40, 400, 9000):
+        for keep in (1.0, 0.95, 0.9, 0.8):
+            x = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            y = np.r_[x[r.random(n) < keep], r.integers(0, 1 << 63, r.integers(0, n // 20 + 1), dtype=np.uint64)]
+            shared, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            a, b = (np.frombuffer(minhash_join.bitmap(s), np.uint8) for s in (x, y))
+            if 100 * shared >= 85 * union:
+                assert minhash_join.can_link(a, b, len(x), len(y), 85)
+    assert not minhash_join.can_link(*(np.frombuffer(minhash_join.bitmap(r.integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2)), np.uint8) for _ in "ab"), 50, 50, 85)
+
+
 def test_sketch_cut():
     for percent in (80, 85):
         k = minhash_join.least_estimate(percent)

@@ -15,7 +15,7 @@ members included: every set gives its rarest shingles, so many that linked sets
 and documents of different components that do so, where sizes and places allow a link, are candidates.
 
 Candidate pairs pass a sketch of 128 coordinates, whose cut a pair at the threshold misses with a probability
-below LOSS; links are confirmed on the full sets, and components follow from them by alternating large and
+below LOSS, and a bitmap of the set, which bounds what two sets can share; links are confirmed on the full sets, and components follow from them by alternating large and
 small stars.
 
 Counts are written before rows are joined with them: between two plain tables Spark can split a hot node.
@@ -42,6 +42,7 @@ from .common import WordHashes, as_bytes, bounded, staged, window_hashes
 
 COORDINATES = 128
 BUCKETS = 1 << 20  # of shingles that are counted together
+BITS = 11  # 2^11 buckets of a set's bitmap
 LOSS = 1e-9  # chance that a sketch shows a pair at the threshold below the cut
 BLOCK = 4096  # rows of one shingle that are compared with each other in one group
 FACTORS = np.random.default_rng(97).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,24 +72,40 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each bucket that holds a shingle."""
+    marks = np.zeros(1 << BITS, np.uint8)
+    marks[(shingles >> np.uint64(64 - BITS)).astype(np.int64)] = 1
+    return np.packbits(marks).tobytes()
+
+
+def can_link(x: np.ndarray, y: np.ndarray, n_x, n_y, percent: int) -> np.ndarray:
+    """Whether sets of these bitmaps (rows of bytes) and sizes can have the similarity: each bit that only one set
+    has is an element that only it has. Sets that are similar enough always can."""
+    shared = -(-percent * (n_x + n_y) // (100 + percent))
+    alone = lambda a, b: np.bitwise_count(a & ~b).sum(-1, dtype=np.int64)
+    return (alone(x, y) <= n_x - shared) & (alone(y, x) <= n_y - shared)
+
+
 def signatures(texts: DataFrame, width: int, functions: int) -> DataFrame:
-    """id, row, n (size of the set), key (of the whole set), tokens (minwise, one a function) and sketch."""
+    """id, row, n (size of the set), key (of the whole set), tokens (minwise, one a function), sketch and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in bounded(batches, "text", 8 << 20):
-            n, keys, rows = [], [], []
+            n, keys, rows, bits = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 s = shingle_set(text, hashes, width)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 rows.append(minima(s))
+                bits.append(bitmap(s))
             m = np.stack(rows)
             tokens = pa.FixedSizeListArray.from_arrays(pa.array(m[:, :functions].copy().view(np.int64).ravel()), functions).cast(pa.list_(pa.int64()))
             sketch = pa.array([x.tobytes() for x in (m & np.uint64(255)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), tokens, sketch], names=["id", "row", "n", "key", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), tokens, sketch, pa.array(bits, pa.binary())], names=["id", "row", "n", "key", "tokens", "sketch", "bits"])
 
-    return texts.mapInArrow(run, "id long, row long, n long, key binary, tokens array<long>, sketch binary")
+    return texts.mapInArrow(run, "id long, row long, n long, key binary, tokens array<long>, sketch binary, bits binary")
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -155,7 +172,7 @@ def unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """id, root, n and the first shingles (item, at) of every text, rare ones first: sets of the similarity share one of them.
+    """id, root, n, bits and the first shingles (item, at) of every text, rare ones first: sets of the similarity share one of them.
 
     The order is by the count of the shingle's bucket among members, then by value; any order that all sets share would do."""
 
@@ -175,32 +192,34 @@ def prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weight = WordHashes(), shared.value
         for batch in bounded(batches, "text", 4 << 20):
-            firsts, sizes = [], []
+            firsts, sizes, bits = [], [], []
             for text in as_bytes(batch.column("text")):
                 s = shingle_set(text, hashes, width)
                 order = np.lexsort((s, weight[(s % np.uint64(BUCKETS)).astype(np.int64)]))
                 firsts.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
                 sizes.append(len(s))
+                bits.append(bitmap(s))
             k = [len(f) for f in firsts]
             owner = pa.array(np.repeat(np.arange(len(k)), k))
             at = np.concatenate([np.arange(x) for x in k])
             n = pa.array(np.repeat(sizes, k), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("root").take(owner), n, pa.array(np.concatenate(firsts).view(np.int64)), pa.array(at, pa.int64())], names=["id", "root", "n", "item", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("root").take(owner), n, pa.array(bits, pa.binary()).take(owner), pa.array(np.concatenate(firsts).view(np.int64)), pa.array(at, pa.int64())], names=["id", "root", "n", "bits", "item", "at"])
 
-    return members.mapInArrow(run, "id long, root long, n long, item long, at long")
+    return members.mapInArrow(run, "id long, root long, n long, bits binary, item long, at long")
 
 
 def crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots that share an item of their prefixes, where sizes and places allow a link.
+    """Pairs (a, b) of different roots that share an item of their prefixes, where sizes, places and bitmaps allow a link.
 
     The rows of an item are dealt into parts of about BLOCK rows, and every two parts meet in a group of their own."""
     counts = staged(rows.groupBy("item").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("item", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")))
     dealt = rows.join(counts, "item").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    grouped = dealt.select(F.xxhash64("item", F.least("part", "other"), F.greatest("part", "other")).alias("meet"), (F.col("part") != F.col("other")).alias("across"), "part", "id", "root", "n", "at")
+    grouped = dealt.select(F.xxhash64("item", F.least("part", "other"), F.greatest("part", "other")).alias("meet"), (F.col("part") != F.col("other")).alias("across"), "part", "id", "root", "n", "at", "bits")
+    columns = grouped.columns
 
-    def pairs(across, part, ids, roots, n, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(across, part, ids, roots, n, at, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(n, kind="stable")
-        part, ids, roots, n, rest = part[order], ids[order], roots[order], n[order], (n - at - 1)[order]
+        part, ids, roots, n, rest, bits = part[order], ids[order], roots[order], n[order], (n - at - 1)[order], bits[order]
         names, counts = np.unique(roots, return_counts=True)
         top = roots == names[counts.argmax()]
         for i in np.flatnonzero(~top):
@@ -209,7 +228,8 @@ def crossing(rows: DataFrame, percent: int) -> DataFrame:
             if across[0]:
                 new &= part[span] != part[i]
             fits = new & ((100 + percent) * (1 + np.minimum(rest[span], rest[i])) >= percent * (n[span] + n[i]))
-            other = ids[span][fits]
+            near = np.flatnonzero(fits) + span.start
+            other = ids[near[can_link(bits[near], bits[i], n[near], n[i], percent)]]
             yield np.minimum(other, ids[i]), np.maximum(other, ids[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +239,8 @@ def crossing(rows: DataFrame, percent: int) -> DataFrame:
         held, found, size = None, [], 0
         for batch in chain(batches, [None]):  # sorted by group: the last one of a batch may go on in the next
             if batch is not None:
-                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("meet", "across", "part", "id", "root", "n", "at")]
+                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]]
+                new.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if held is None or not len(held[0]):
                 continue
@@ -256,6 +277,19 @@ def estimated(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
+def plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches and bitmaps let pass."""
+    least = least_estimate(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+            n_a, n_b, estimate = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "estimate"))
+            yield batch.select(["a", "b"]).filter(pa.array((estimate >= least) & can_link(x, y, n_a, n_b, percent)))
+
+    return estimated(pairs).mapInArrow(run, "a long, b long")
+
+
 def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """texts (doc, row, text) of nodes (doc, row and others), one row a node, by a merge join at any size: nodes
     grow with the corpus and are never broadcast. Equal rows have one text."""
@@ -264,9 +298,9 @@ def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    one = reps.select(F.col("id").alias("a"), "sketch")
-    two = reps.select(F.col("id").alias("b"), F.col("sketch").alias("other"))
-    near = staged(estimated(pairs.join(one, "a").join(two, "b")).where(F.col("estimate") >= least_estimate(percent)).select("a", "b").distinct())
+    one = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "sketch", F.col("bits").alias("bits_a"))
+    two = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("other"), F.col("bits").alias("bits_b"))
+    near = staged(plausible(pairs.join(one, "a").join(two, "b"), percent).distinct())
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     sets = staged(full_sets(texts_of(texts, reps.select("id", "doc", "row").join(ids, "id")).select("id", "text"), width))
     both = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
@@ -301,7 +335,7 @@ def near_duplicates(docs: DataFrame, *, text="text", key="doc_id", width: int =
     # A class is a node of the links; its number is fixed once it is written.
     classes = staged(able.groupBy("key").agg(F.min("id").alias("doc")).withColumn("node", F.monotonically_increasing_id()))
     firsts = able.join(classes.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("doc")))
-    reps = staged(firsts.select(F.col("node").alias("id"), "doc", "row", "n", "tokens", "sketch").dropDuplicates(["id"]))
+    reps = staged(firsts.select(F.col("node").alias("id"), "doc", "row", "n", "tokens", "sketch", "bits").dropDuplicates(["id"]))
     pairs, large = candidates(reps, percent=percent, trees=trees, levels=levels, small=small, rounds=rounds)
     links = staged(confirmed(pairs, reps, texts, percent, width))
     roots = components(links)
