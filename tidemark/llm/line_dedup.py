@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, staged
@@ -37,10 +37,10 @@ def place(key: str, text: str) -> list[Column]:
 
 
 def line_suffixes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """PLACE, i (line number among those not blank) and two hashes a, b of the line."""
+    """PLACE, i (line number among those not blank) and two hashes a, b, each of the line itself: 128 bits in all."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select(*place(key, text), F.posexplode(lines).alias("i", "line"))
-    return rows.select(*PLACE, "i", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")).dropDuplicates([*PLACE, "i"])
+    return rows.select(*PLACE, "i", F.xxhash64("line").alias("a"), F.xxhash64(F.concat(F.lit("\n"), "line")).alias("b")).dropDuplicates([*PLACE, "i"])
 
 
 def ranked(suffixes: DataFrame) -> DataFrame:
@@ -61,6 +61,20 @@ def repeated_runs(docs: DataFrame, *, key="doc_id", text="text", min_lines: int
     return tied
 
 
+def copied_runs(docs: DataFrame, *, key="doc_id", text="text", min_lines: int = MIN_LINES) -> DataFrame:
+    """The longest runs that a document has in common with the first place of each of their parts: _tm_id and _tm_x of the
+    document, first line and length, from_id and from_line of the copied run, and copies, how often its commonest part occurs."""
+    runs = repeated_runs(docs, key=key, text=text, min_lines=min_lines)
+    here = F.struct(*PLACE, "i")
+    first = staged(runs.groupBy("r").agg(F.min(here).alias("first"), F.count("*").alias("n")))
+    later = runs.join(first, "r").where(here > F.col("first")).select(*PLACE, "i", *[F.col("first")[c].alias(f"_f{c}") for c in (*PLACE, "i")], "n")
+    along = Window.partitionBy(*PLACE, *[f"_f{c}" for c in PLACE], F.col("i") - F.col("_fi")).orderBy("i")
+    marked = later.withColumn("step", F.col("i") - F.col("_fi")).withColumn("island", F.col("i") - F.row_number().over(along))
+    found = marked.groupBy(*PLACE, *[f"_f{c}" for c in PLACE], "step", "island").agg(F.min("i").alias("line"), (F.max("i") - F.min("i") + min_lines).alias("length"), F.max("n").alias("copies"))
+    named = lambda id, void: F.when(~F.col(void), F.col(id))
+    return found.select(named("_tm_id", "_tm_void").alias("id"), F.col("_tm_x").alias("row"), "line", "length", named("_f_tm_id", "_f_tm_void").alias("from_id"), (F.col("line") - F.col("step")).alias("from_line"), "copies")
+
+
 def deleted_lines(runs: DataFrame, min_lines: int) -> DataFrame:
     """PLACE and the numbers of the lines that later copies of runs cover."""
     here = F.struct(*PLACE, "i")
