@@ -5,8 +5,10 @@ deflate, undoes horizontal predictors and yields one page after the other; `page
 page. 8-bit (and 16-bit, for the predictor) samples, chunky or planar, either byte order.
 The writer stores 8-bit grayscale pages in strips or tiles with any of these compressions.
 
-Defined cases: a null file gives no page; one that is not a TIFF, ends early or uses another
-compression gives one row with page -1 and the reason in `error`. Repeated rows stay repeated.
+Defined cases: a null file gives no page. A page that cannot be decoded (another compression, bytes that end
+early, sizes that are zero or need more than `max_page` bytes) gives a row with its number and the reason in `error`, and the
+pages after it are still read; a file that is not a TIFF, or whose chain of directories breaks off, gives such a row with page -1
+after the pages before. Repeated rows stay repeated. Columns in keep that are named like a new one are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded
 
@@ -171,38 +174,55 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             if kind in FIELD:
                 wide = struct.calcsize(FIELD[kind]) * count
                 place = at + 10 + 12 * i if wide <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
+                if wide > len(data):
+                    raise ValueError("a field is longer than the file")
                 fields[tag] = list(struct.unpack_from(f"{order}{count}{FIELD[kind]}", data, place))
         yield order, fields
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
+BROKEN = (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, TypeError, struct.error, zlib.error)  # what bad bytes raise
+
+
 def read_pages(data: bytes) -> Iterator[Page]:
     for index, (order, f) in enumerate(directories(data)):
-        width, height, channels = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, [1])[0]
-        bits, kind, predictor = f.get(BITS, [8])[0], f.get(COMPRESSION, [NONE])[0], f.get(PREDICTOR, [1])[0]
-        if kind not in DECODE or bits not in (8, 16) or predictor not in (1, 2):
-            raise ValueError(f"compression {kind}, {bits} bits or predictor {predictor} is not supported")
-        tiled = TILE_OFFSETS in f
-        tw, th = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(height, f.get(ROWS_PER_STRIP, [height])[0]))
-        offsets, sizes = f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_BYTES if tiled else STRIP_BYTES]
-        planes = channels if f.get(PLANAR, [1])[0] == 2 else 1
-        per = channels // planes
-        across, down = -(-width // tw), -(-height // th)
-        dtype = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
-        image = np.zeros((height, width, channels), dtype.newbyteorder(">") if bits == 16 else dtype)
-        for i, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
-            plane, cell = divmod(i, across * down)
-            y, x = cell // across * th, cell % across * tw
-            rows = th if tiled else min(th, height - y)
-            if offset + size > len(data):
-                raise ValueError("a strip or tile lies beyond the end")
-            raw = DECODE[kind](data[offset : offset + size])
-            block = np.frombuffer(raw, dtype, rows * tw * per).reshape(rows, tw, per)
-            if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))
-            part = block[: height - y, : width - x]
-            image[y : y + part.shape[0], x : x + part.shape[1], plane if planes > 1 else slice(None)] = part[:, :, 0] if planes > 1 else part
-        yield Page(index, width, height, channels, bits, kind, tiled, image.tobytes())
+        yield read_page(data, index, order, f)
+
+
+def read_page(data: bytes, index: int, order: str, f: dict[int, list[int]], max_page: int = 1 << 28) -> Page:
+    width, height, channels = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, [1])[0]
+    bits, kind, predictor = f.get(BITS, [8])[0], f.get(COMPRESSION, [NONE])[0], f.get(PREDICTOR, [1])[0]
+    if kind not in DECODE or bits not in (8, 16) or predictor not in (1, 2):
+        raise ValueError(f"compression {kind}, {bits} bits or predictor {predictor} is not supported")
+    if min(width, height, channels) < 1 or width * height * channels * bits // 8 > max_page:
+        raise ValueError(f"a page of {width} x {height} x {channels} samples is empty or too large")
+    tiled = TILE_OFFSETS in f
+    tw, th = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(height, f.get(ROWS_PER_STRIP, [height])[0]))
+    if min(tw, th) < 1 or tw * th * channels * bits // 8 > max_page:
+        raise ValueError(f"strips or tiles of {tw} x {th} are empty or too large")
+    offsets, sizes = f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_BYTES if tiled else STRIP_BYTES]
+    planes = channels if f.get(PLANAR, [1])[0] == 2 else 1
+    per = channels // planes
+    across, down = -(-width // tw), -(-height // th)
+    dtype = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
+    image = np.zeros((height, width, channels), dtype.newbyteorder(">") if bits == 16 else dtype)
+    if len(offsets) < across * down * planes:
+        raise ValueError("strips or tiles are missing")
+    for i, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
+        plane, cell = divmod(i, across * down)
+        if plane >= planes:
+            raise ValueError("more strips or tiles than the page has room for")
+        y, x = cell // across * th, cell % across * tw
+        rows = th if tiled else min(th, height - y)
+        if offset + size > len(data):
+            raise ValueError("a strip or tile lies beyond the end")
+        raw = DECODE[kind](data[offset : offset + size])
+        block = np.frombuffer(raw, dtype, rows * tw * per).reshape(rows, tw, per)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))
+        part = block[: height - y, : width - x]
+        image[y : y + part.shape[0], x : x + part.shape[1], plane if planes > 1 else slice(None)] = part[:, :, 0] if planes > 1 else part
+    return Page(index, width, height, channels, bits, kind, tiled, image.tobytes())
 
 
 def write_pages(images: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 2, rows: int | None = None, tile: int | None = None, order: str = "<") -> bytes:
@@ -241,26 +261,44 @@ def write_pages(images: list[np.ndarray], *, compression: int = DEFLATE, predict
     return bytes(out)
 
 
-def pages(media: DataFrame, *, column="media", keep=("doc_id",)) -> DataFrame:
+def pages(media: DataFrame, *, column="media", keep=("doc_id",), max_page: int = 1 << 28) -> DataFrame:
     """One row per page of every file in column: keep, page, width, height, channels, bits, compression, tiled, samples, error."""
     extra = "page int, width int, height int, channels int, bits int, compression int, tiled boolean, samples binary, error string"
     schema = pa.schema([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("tiled", pa.bool_()), ("samples", pa.binary()), ("error", pa.string())])
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*keep).schema)
+    keep = [c for c in keep if c.lower() not in schema.names]
+    read = media.select(*keep, F.col(column).alias("_media"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema[:-1]]
+
+    def rows_of(data: bytes) -> Iterator[tuple]:
+        failed = lambda index, e: (index, *[None] * 7, f"{type(e).__name__}: {e}"[:200])
+        try:
+            for index, (order, f) in enumerate(directories(data)):
+                try:
+                    p = read_page(data, index, order, f, max_page)
+                    yield (p.index, p.width, p.height, p.channels, p.bits, p.compression, p.tiled, p.samples, None)
+                except BROKEN as e:
+                    yield failed(index, e)
+        except BROKEN as e:
+            yield failed(-1, e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, column, 4 << 20):
-            rows, owner = [], []
-            for i, data in enumerate(batch.column(column).to_pylist()):
-                before = len(rows)
-                try:
-                    rows += [(p.index, p.width, p.height, p.channels, p.bits, p.compression, p.tiled, p.samples, None) for p in (read_pages(data) if data is not None else ())]
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
-                    rows[before:] = [(-1, *[None] * 7, str(e)[:200])]
-                owner += [i] * (len(rows) - before)
+        def made(batch, rows, owner):
             new = [pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner, pa.int64())) for c in keep), *new], names=[*keep, *schema.names])
-
-    return media.select(*keep, column).mapInArrow(run, f"{kept}, {extra}")
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner, pa.int64())) for c in keep), *new], names=[*keep, *schema.names])
+
+        for batch in bounded(batches, "_media", 4 << 20):
+            rows, owner, size = [], [], 0
+            for i, data in enumerate(batch.column("_media").to_pylist()):
+                for row in rows_of(data) if data is not None else ():
+                    rows.append(row)
+                    owner.append(i)
+                    size += len(row[7] or b"")
+                    if size > 64 << 20:
+                        yield made(batch, rows, owner)
+                        rows, owner, size = [], [], 0
+            yield made(batch, rows, owner)
+
+    return read.mapInArrow(run, ", ".join([*kept, extra]))
 
 
 # The contract's query: a text as the samples of a TIFF file and back.
