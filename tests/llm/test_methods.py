@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -447,6 +449,72 @@ def test_tiff(spark):
     assert sorted(got, key=str) == sorted([(0, 0, 70, True), (0, 1, 3, True), (2, -1, None, False), (3, -1, None, False)], key=str)
 
 
+def tiff(order, fields, blobs):
+    """A file with one directory; fields: tag -> (kind, values) or (kind, 'blobs') for the offsets of blobs."""
+    out, at = bytearray({"<": b"II*\0", ">": b"MM\0*"}[order] + b"\0" * 4), []
+    for b in blobs:
+        at.append(len(out))
+        out += b
+    entries = []
+    for tag, (kind, values) in sorted(fields.items()):
+        values = at if values == "blobs" else values
+        body = struct.pack(order + {3: "H", 4: "I"}[kind] * len(values), *values)
+        if len(body) > 4:
+            body, place = struct.pack(order + "I", len(out)), body
+            out += place
+        entries.append(struct.pack(order + "HHI", tag, kind, len(values)) + body.ljust(4, b"\0"))
+    struct.pack_into(order + "I", out, 4, len(out))
+    return bytes(out + struct.pack(order + "H", len(entries)) + b"".join(entries) + b"\0" * 4)
+
+
+def test_tiff_files_written_by_hand(spark):
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")  # runs of AA and literals between
+    assert tiff_media.unpack_bits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # 7 7 7 8 8 7 7 6 6 in nine-bit codes
+    word = int("".join(f"{c:09b}" for c in codes).ljust(88, "0"), 2).to_bytes(11, "big")
+    assert tiff_media.lzw_decode(word) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    base = lambda w, h, n, bits, kind=1: {256: (3, [w]), 257: (3, [h]), 258: (3, [bits] * n), 259: (3, [kind]), 277: (3, [n]), 278: (3, [h]), 273: (4, "blobs")}
+    colour = bytes(range(18))
+    wide = struct.pack(">6H", 1, 2, 300, 65535, 0, 7)
+    deltas = struct.pack("<6H", 1, 1, 298, 65535, 1, 7)  # differences along rows of three
+    cases = [
+        (tiff("<", base(3, 2, 3, 8) | {279: (4, [18])}, [colour]), colour),
+        (tiff(">", base(3, 2, 3, 8) | {279: (4, [6, 6, 6]), 284: (3, [2])}, [colour[i::3] for i in range(3)]), colour),
+        (tiff(">", base(3, 2, 1, 16) | {279: (4, [12])}, [wide]), wide),
+        (tiff("<", base(3, 2, 1, 16) | {279: (4, [12]), 317: (3, [2])}, [deltas]), wide),
+        (tiff("<", base(6, 4, 1, 8, 32773) | {279: (4, [15])}, [packed]), tiff_media.unpack_bits(packed)),
+        (tiff(">", base(3, 3, 1, 8, 5) | {279: (4, [11])}, [word]), bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])),
+    ]
+    for data, want in cases:
+        assert [p.samples for p in tiff_media.read_pages(data)] == [want]
+    good = base(3, 2, 1, 8) | {279: (4, [6])}
+    bad = [good | {256: (3, [0])}, good | {278: (3, [0])}, good | {256: (4, [])}, good | {256: (4, [1 << 31])}, good | {279: (4, [5])}, good | {259: (3, [7])}, good | {277: (3, [4])}, {k: v for k, v in good.items() if k != 273}, good | {284: (3, [2]), 277: (3, [3])}]
+    files = [tiff("<", f, [bytes(range(6))]) for f in bad]
+    two = tiff_media.write_pages([np.full((4, 4), i, np.uint8) for i in range(3)], compression=tiff_media.DEFLATE)
+    at = two.index(zlib.compress(np.diff(np.full((4, 4), 1, np.uint8), axis=1, prepend=np.zeros((4, 1), np.uint8)).tobytes(), 1))
+    files.append(two[: at + 3] + b"\xff\xff" + two[at + 5 :])  # the second of three pages is damaged
+    media = spark.createDataFrame([(i, f, "x") for i, f in enumerate(files)], "doc_id long, media binary, Page string")
+    got = sorted((r["doc_id"], r["page"], r["error"] is None) for r in tiff_media.pages(media, keep=("doc_id", "Page")).collect())
+    assert got == [(i, 0, False) for i in range(len(bad))] + [(len(bad), 0, True), (len(bad), 1, False), (len(bad), 2, True)]
+
+
+def test_copied_runs(spark):
+    """Runs of three and more lines that stand in an earlier document, as long as they go."""
+    line = lambda name, n: [f"{name}{i}" for i in range(n)]
+    data = [(1, line("a", 9)), (2, [*line("x", 2), *line("a", 6), *line("y", 2)]), (3, [*line("a", 9)[4:8], "z", *line("a", 4)]), (4, line("b", 2)), (5, line("b", 2))]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in data], "doc_id long, text string")
+    got = {(r["id"], r["line"], r["length"], r["from_id"], r["from_line"]) for r in line_dedup.copied_runs(docs).collect()}
+    assert got == {(2, 2, 6, 1, 0), (3, 0, 4, 1, 4), (3, 5, 4, 1, 0)}
+
+
+def test_equal_rules_and_verdicts(spark):
+    urls = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    rules = [("a.com", "/", "block"), ("A.com", "/", "allow")]
+    for order in (rules, rules[::-1]):
+        got = url_filter.judge(urls, spark.createDataFrame(order, "host string, path string, verdict string")).first()
+        assert (got["rule"], got["verdict"]) == ("a.com/", "block")
+
+
 def test_recall(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     x = np.array(vectors.toPandas().sort_values("vec_id")["embedding"].tolist(), dtype=float)
@@ -460,6 +528,53 @@ def test_recall(spark):
     assert np.allclose(got["score"], [x[q] @ x[v] for q, v in zip(got["query_id"], got["vec_id"], strict=True)], atol=1e-12)
 
 
+def recall(found, x, asked):
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    top = np.argpartition(-s, 20, axis=1)[:, :20]
+    return np.mean([len(found.get(q, set()) & set(t)) / 20 for q, t in zip(asked, top, strict=True)])
+
+
+@pytest.mark.parametrize("n", [10_000, 50_000])
+def test_recall_of_larger_tables(spark, n):
+    """Vectors without clusters and of different norms; every 400th is a query."""
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32) * np.random.default_rng(1).uniform(0.8, 1.0, (n, 1)).astype(np.float32)
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    got = ann.search(df, is_query="id % 400 = 0").toPandas()
+    assert recall(got.groupby("query_id")["vec_id"].apply(set).to_dict(), x.astype(float), np.arange(0, n, 400)) >= 0.9
+
+
+def test_buckets_grow_with_the_table():
+    for n in (10, 10_000, 10**6, 10**9):
+        dims = ann.dimensions(n, 128)
+        buckets = np.prod([2.0 * m for m in dims])
+        assert n / buckets <= ann.OCCUPANCY and (len(dims) == 1 or n / buckets >= ann.OCCUPANCY / 4)
+        assert ann.probes_of(n, 128) <= buckets
+    x = np.random.default_rng(0).normal(size=(5, 16))
+    dims = [16, 4]
+    nearest = ann.buckets_of(x, 3, dims, 2 * 16 * 8)
+    assert all(sorted(row) == list(range(256)) for row in nearest.tolist())  # all buckets, each once
+    y = [ann.rotated(x, 3 * 64 + j)[:, :m] for j, m in enumerate(dims)]
+    for i in range(5):
+        sums = [np.r_[y[0][i], -y[0][i]][b // 8] + np.r_[y[1][i], -y[1][i]][b % 8] for b in nearest[i]]
+        assert all(a >= b - 1e-12 for a, b in itertools.pairwise(sums))
+        assert ann.buckets_of(x, 3, dims, 7)[i].tolist() == nearest[i][:7].tolist()
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(i, [float(1 + i % 3)] * (1 + i // 2)) for i in range(2400)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query="id % 600 = 0")
+    assert {(r["query_id"], r["vec_id"]) for r in got.collect()} == {(i, i + 1) for i in range(0, 2400, 600)}
+
+
+def test_equal_ids_with_different_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.0]), (2, [0.0, 0.8]), (2, [0.1, 0.0])]
+    got = ann.op9_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 0.9), (0, 2, 0.8)]
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     r = random.Random(4)
     hosts = [f"h{r.randrange(300)}.d{r.randrange(60)}.com" for _ in range(3000)]
