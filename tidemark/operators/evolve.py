@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Columns that tell when a row was made or changed, the likeliest first.
 TIME_COLUMNS = ["updated_at", "modified_at", "last_modified", "updated_time", "created_at", "created_time", "timestamp"]
 
 
 def compatible(old: Column, new: Column) -> Column:
     """Whether a column of the old type may become one of the new type without a reload."""
     a, b = F.upper(old), F.upper(new)
+    # Patterns of an old and a new type that fit together.
     pairs = [("CHAR", "CHAR"), ("NUMERIC", "NUMERIC"), ("INTEGER", "BIGINT"), ("SMALLINT", "INTEGER|BIGINT"), ("TIME", "TIME"), ("TEXT", "CHAR|TEXT"), ("CHAR", "TEXT"), ("JSONB", "TEXT|VARCHAR|JSONB"), ("TEXT|VARCHAR", "JSONB")]
     out = a == b
     for x, y in pairs:

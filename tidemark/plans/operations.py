@@ -11,9 +11,9 @@ from .registry import as_of, query
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-@query("j1_top_statements", "SELECT queryid, total_time_ms FROM {query_stats} WHERE NOT contains(lower(query), 'pg_stat') ORDER BY total_time_ms DESC, queryid LIMIT 200")
+@query("j1_top_statements", "SELECT queryid, total_time_ms FROM {query_stats} WHERE NOT contains(lower(query), 'pg_stat') ORDER BY total_time_ms DESC, queryid LIMIT 1000")
 def j1(t):
-    return logs.top_statements(t.query_stats, 200).select("queryid", "total_time_ms")
+    return logs.top_statements(t.query_stats, 1000).select("queryid", "total_time_ms")
 
 
 @query("j2_text_features", r"""SELECT queryid, regexp_matches(q, ' join |inner join|left join|right join') AS has_joins, regexp_matches(q, '\( ?select') AS has_subqueries, contains(q, 'with ') AND contains(q, ' as (') AS has_cte, contains(q, 'over (') OR contains(q, 'row_number()') OR contains(q, 'rank()') AS has_window,

@@ -20,9 +20,9 @@ def a1(t):
     return scan.read_table(t.spark, f"{t.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"], "o_orderkey % 3 = 0 AND o_totalprice > 100000")
 
 
-@query("a2_change_scan", "SELECT change_id, operation, pk_values FROM {change_log} WHERE change_id > 400 ORDER BY change_id LIMIT 300")
+@query("a2_change_scan", "SELECT change_id, operation, pk_values FROM {change_log} WHERE change_id > 400")
 def a2(t):
-    return cdc.since(t.change_log, 400, 300).select("change_id", "operation", "pk_values")
+    return cdc.since(t.change_log, 400).select("change_id", "operation", "pk_values")
 
 
 @query("a3_document_fields", """WITH k AS (SELECT event_id, unnest(json_keys(doc)) AS field, generate_subscripts(json_keys(doc), 1) - 1 AS place FROM {documents_json})
@@ -331,9 +331,9 @@ def d17(t):
     return cdc.resync_due(t.catalog, as_of()).select("schema_name", "table_name")
 
 
-@query("d18_work_order", "SELECT schema_name, table_name, CASE upper(status) WHEN 'FULL_LOAD' THEN 0 WHEN 'RESET' THEN 1 WHEN 'LISTENING_CHANGES' THEN 2 ELSE 3 END AS work_rank FROM {catalog} ORDER BY 3, 1, 2 LIMIT 100")
+@query("d18_work_order", "SELECT schema_name, table_name, CASE upper(status) WHEN 'FULL_LOAD' THEN 0 WHEN 'RESET' THEN 1 WHEN 'LISTENING_CHANGES' THEN 2 ELSE 3 END AS work_rank FROM {catalog} ORDER BY 3, 1, 2 LIMIT 1000")
 def d18(t):
-    return cdc.work_order(t.catalog, 100).select("schema_name", "table_name", "work_rank")
+    return cdc.work_order(t.catalog, 1000).select("schema_name", "table_name", "work_rank")
 
 
 @query("d20_deleted_keys", "SELECT o_orderkey FROM {orders_old} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {orders_new})")
