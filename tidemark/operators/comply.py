@@ -57,13 +57,10 @@ def holding(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """df with the request_id of each name (request_id, _n) that the column holds, whatever its case. Names meet by
     their first three characters (fewer if they are shorter), so that few texts are searched for a name."""
     lower = F.lower(column)
-    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lower) - n + 1)), lambda i: F.substring(lower, i, F.lit(n))))
-    start = names.withColumn("_gram", F.substring("_n", 1, 3))
-    found = []
-    for n in sorted(r[0] for r in start.select(F.length("_gram")).distinct().collect()):  # 1 to 3
-        pairs = df.withColumn("_gram", F.explode(grams(n))).join(start.where(F.length("_gram") == n), "_gram")
-        found.append(pairs.where(F.contains(lower, F.col("_n"))).select("request_id", *df.columns))
-    return reduce(DataFrame.unionByName, found) if found else df.limit(0).select(F.lit(None).cast(names.schema["request_id"].dataType).alias("request_id"), *df.columns)
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lower) - n + 1)), lambda i: F.substring(lower, i, F.lit(n)))
+    grams = F.array_distinct(F.concat(*map(pieces, (1, 2, 3))))
+    met = df.withColumn("_gram", F.explode(grams)).join(names.withColumn("_gram", F.substring("_n", 1, 3)), "_gram")
+    return met.where(F.contains(lower, F.col("_n"))).select("request_id", *df.columns)
 
 
 def subject_matches(df: DataFrame, requests: DataFrame, *, email: list[str], name: list[str]) -> DataFrame:
