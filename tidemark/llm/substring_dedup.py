@@ -126,9 +126,10 @@ def covered(docs: DataFrame, *, text="text", key="doc_id", size: int = SIZE) ->
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     base = staged(first_level(texts, size))
     classes = staged(base.where("id is not null and n_words > 0").groupBy("key").agg(F.min("id").alias("original")))
-    known = base.join(classes, "key", "left").withColumn("copy", F.coalesce(F.col("original") < F.col("id"), F.lit(False)))
-    rows = staged(known.select("id", "row", "n_words", "copy", F.when(~F.col("copy") & F.col("id").isNotNull(), F.col("windows")).alias("windows")))
-    alone = rows.where("size(windows) > 0").dropDuplicates(["id", "row"])
+    known = base.select("id", "row", "n_words", "key").join(classes, "key", "left")
+    rows = staged(known.select("id", "row", "n_words", F.coalesce(F.col("original") < F.col("id"), F.lit(False)).alias("copy")))
+    whole = base.where("id is not null and size(windows) > 0").select("id", "row", "windows")
+    alone = whole.join(rows.where("copy").select("id", "row").distinct(), ["id", "row"], "left_anti").dropDuplicates(["id", "row"])
     shorts = staged(alone.select("id", "row", F.inline("windows")))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("later"), F.col("after").alias("h")), F.struct(F.lit(False).alias("later"), F.col("before").alias("h"))))
     halves = staged(survivors(shorts.select("id", "row", "place", "h", "after", "before")).select("id", "row", "place", sides.alias("x")).select("id", "row", "place", "x.later", "x.h").where("h <> 0"))
@@ -137,7 +138,7 @@ def covered(docs: DataFrame, *, text="text", key="doc_id", size: int = SIZE) ->
     found = texts.join(anchors, ["id", "row"]).dropDuplicates(["id", "row"])
     windows = staged(full_windows(found.select("id", "row", "text", "after", "before"), size))
     gone = windows.join(staged(repeated_elsewhere(windows, "h", "least")), "h").where("least < id")
-    return rows.drop("windows"), gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    return rows, gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def mask(n: int, starts, size: int) -> np.ndarray:
