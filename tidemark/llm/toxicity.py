@@ -83,18 +83,32 @@ def margins(bias, weights, factors, owner, feature, n):
     return out, sums
 
 
-def train(owner, feature, y, width: int, rank: int = 4, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss over all rows, both labels weighing the same, by Adam. Deterministic."""
+def rows_of(sizes: np.ndarray, feature: np.ndarray, rows: np.ndarray):
+    """owner (numbered anew) and feature of some rows; row i has sizes[i] of the features, one row after the other."""
+    n = sizes[rows]
+    owner = np.repeat(np.arange(len(rows)), n)
+    return owner, feature[np.repeat((np.cumsum(sizes) - sizes)[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def train(owner, feature, y, width: int, rank: int = 4, steps: int = 150, rate: float = 0.05, decay: float = 1e-3, batch: int = 4096) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss, both labels weighing the same, by Adam; a step sees `batch` rows, all in turn. Deterministic."""
     rng = np.random.default_rng(5)
     w = [np.zeros(1), np.zeros(width), rng.normal(0, 0.05, (width, rank))]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    sizes, decay, waiting = np.bincount(owner, minlength=len(y)), decay / max(1, width), np.zeros(0, np.int64)
     for t in range(1, steps + 1):
-        margin, sums = margins(w[0][0], w[1], w[2], owner, feature, len(y))
-        g = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        per = g[owner]
-        slope = np.stack([np.bincount(feature, weights=per * (sums[owner, j] - w[2][feature, j]), minlength=width) for j in range(rank)], axis=1)
-        grads = [np.array([g.sum()]), np.bincount(feature, weights=per, minlength=width) + decay / max(1, width) * w[1], slope + decay / max(1, width) * w[2]]
+        rows = np.arange(len(y))
+        if len(y) > batch:
+            if len(waiting) < batch:
+                waiting = rng.permutation(len(y))
+            rows, waiting = waiting[:batch], waiting[batch:]
+        own, f = rows_of(sizes, feature, rows)
+        margin, sums = margins(w[0][0], w[1], w[2], own, f, len(rows))
+        g = weight[rows] * (len(y) / len(rows)) * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[rows])
+        per = g[own]
+        slope = np.stack([np.bincount(f, weights=per * (sums[own, j] - w[2][f, j]), minlength=width) for j in range(rank)], axis=1)
+        grads = [np.array([g.sum()]), np.bincount(f, weights=per, minlength=width) + decay * w[1], slope + decay * w[2]]
         for i, grad in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.999 * v[i] + 0.001 * grad * grad
@@ -121,19 +135,13 @@ def pair_scores(sizes: np.ndarray, feature: np.ndarray, y: np.ndarray, width: in
     return ((total**2).sum(0) / np.maximum(expected, 1e-300) - PROBES) / np.sqrt(2 * PROBES)
 
 
-def chosen(sizes, feature, support):
-    """owner and feature, numbered anew, of the entries whose feature is in support (a mask)."""
-    keep = support[feature]
-    return np.repeat(np.arange(len(sizes)), sizes)[keep], (np.cumsum(support) - 1)[feature[keep]]
-
-
 def loss(margin: np.ndarray, y: np.ndarray) -> float:
     """Logistic loss, both labels weighing the same."""
     each = np.logaddexp(0, np.where(y == 1, -margin, margin))
     return float(sum(each[y == v].mean() for v in (0, 1) if (y == v).any()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label="toxic", per_class: int = 10_000, min_docs: int = 5, min_z: float = 4.0, pair_share: float = 0.005, min_pair: float = 10.0, rank: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label="toxic", per_class: int = 10_000, min_docs: int = 5, min_z: float = 4.0, pair_class: int = 2000, pair_share: float = 0.005, min_pair: float = 10.0, rank: int = 4) -> Model:
     empty = lambda share: Model(np.array([], np.int64), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, rank)))
     known = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = staged(known.groupBy("_id", "_y").agg(F.count("*").alias("_n")))
@@ -163,36 +171,54 @@ def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label=
     df = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     p, q, mean = F.col("a") / n1, (F.col("n") - F.col("a")) / n0, F.col("n") / (n1 + n0)
     z = F.abs(p - q) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-12)
-    apart, often = z >= min_z, F.col("n") >= pair_share * (n1 + n0)
-    found = df.select("term", apart.alias("apart"), often.alias("often")).where("apart or often").orderBy("term").toArrow()
-    inputs, apart, often = found["term"].to_numpy(), found["apart"].to_numpy(), found["often"].to_numpy()
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.flatnonzero(np.isin(inputs, x, assume_unique=True)).tolist() for x in batch.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["id", "y", "inputs"])
-
-    rows = sample.mapInArrow(kept, f"id {kind}, y int, inputs array<int>").orderBy("id", "y").toArrow().combine_chunks()
-    y, lists = rows["y"].to_numpy(), rows["inputs"].combine_chunks()
-    sizes, feature = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    pairs = often & (pair_scores(sizes, feature, y, len(inputs)) >= min_pair)
+    found = df.select("term", (z >= min_z).alias("apart"), (F.col("n") >= pair_share * (n1 + n0)).alias("often")).where("apart or often").orderBy("term").toArrow()
+    terms, apart, often = found["term"].to_numpy(), found["apart"].to_numpy(), found["often"].to_numpy()
+
+    def fetched(rows: DataFrame, inputs: np.ndarray):
+        """The sample's rows in order of id and label: how many of the inputs each has, which, and the labels."""
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                here = [np.flatnonzero(np.isin(inputs, x, assume_unique=True)).astype(np.int32) for x in batch.column("terms").to_pylist()]
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in here])], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(here)))], names=["id", "y", "inputs"])
+
+        got = rows.mapInArrow(kept, f"id {kind}, y int, inputs array<int>").orderBy("id", "y").toArrow().combine_chunks()
+        lists = got["inputs"].combine_chunks() if isinstance(got["inputs"], pa.ChunkedArray) else got["inputs"]
+        return np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().astype(np.int64), got["y"].to_numpy()
+
+    # Pairs are judged on about pair_class rows of each label.
+    part = F.when(F.col("y") == 1, min(1.0, pair_class / n1)).otherwise(min(1.0, pair_class / n0))
+    sizes, feature, y = fetched(sample.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 20)) < part * (1 << 20)), terms[often])
+    pairs = np.zeros(len(terms), bool)
+    pairs[often] = pair_scores(sizes, feature, y, int(often.sum())) >= min_pair
+    terms, apart = terms[apart | pairs], apart[apart | pairs]
+    sizes, feature, y = fetched(sample, terms)
 
     def trained(support: np.ndarray, rows: np.ndarray):
-        """The machine over these inputs, learned from these rows, and its margins of all rows."""
-        owner, f = chosen(sizes, feature, support)
-        some = rows[owner]
-        found = train((np.cumsum(rows) - 1)[owner[some]], f[some], y[rows], int(support.sum()), rank)
-        return found, margins(*found, owner, f, len(y))[0]
-
-    every, first = np.ones(len(y), bool), mixed(np.arange(len(y), dtype=np.uint64), 43) % np.uint64(5) != 0
-    support = apart
-    if (pairs & ~apart).any() and len(set(y[first])) == len(set(y[~first])) == 2:
-        alone, both = (loss(trained(s, first)[1][~first], y[~first]) for s in (apart, apart | pairs))
-        support = apart | pairs if both < alone else apart
+        """The machine over these inputs (a mask), learned from these rows."""
+        owner, f = rows_of(sizes, feature, rows)
+        keep = support[f]
+        return train(owner[keep], (np.cumsum(support) - 1)[f[keep]], y[rows], int(support.sum()), rank)
+
+    def left_out(support: np.ndarray, learn: np.ndarray, rest: np.ndarray) -> float:
+        """The loss on rows that training left out."""
+        machine, found = trained(support, learn), []
+        for a in range(0, len(rest), 2000):
+            owner, f = rows_of(sizes, feature, rest[a : a + 2000])
+            keep = support[f]
+            found.append(margins(*machine, owner[keep], (np.cumsum(support) - 1)[f[keep]], len(rest[a : a + 2000]))[0])
+        return loss(np.concatenate(found), y[rest])
+
+    fold = mixed(np.arange(len(y), dtype=np.uint64), 43) % np.uint64(5) == 0
+    learn, rest, support = np.flatnonzero(~fold), np.flatnonzero(fold), apart
+    if not apart.all() and len(set(y[learn])) == len(set(y[rest])) == 2:
+        both = np.ones(len(terms), bool)
+        support = both if left_out(both, learn, rest) < left_out(apart, learn, rest) else apart
     if not support.any():
         return empty(counts[1][0] / total)
-    bias, weights, factors = trained(support, every)[0]
-    return Model(inputs[support].astype(np.int64), bias + odds, weights, factors)
+    bias, weights, factors = trained(support, np.arange(len(y)))
+    return Model(terms[support].astype(np.int64), bias + odds, weights, factors)
 
 
 def score(docs: DataFrame, model: Model, *, text="text", keep=("doc_id",)) -> DataFrame:
