@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SEED = 20240131
-OCCUPANCY = 100  # vectors a bucket, at most on average
+OCCUPANCY = 256  # vectors a bucket, at most on average: smaller ones cost more copies of each query than they save
 LEAST_SHARE, SHARE_AT, FALL = 0.15, 500, 0.2  # of the buckets that are probed, at so many vectors, and how it falls
 
 
