@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op9_nearest
 from .common import documents
 from .langid import op1_language_id
+from .license_scan import OP13_SQL, op13_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash_join import OP7_SQL, op7_minhash
 from .mixing import op2_mixing
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_substring_dedup": lambda spark, d: op8_substring_dedup(documents(spark, d)),
     "op9_nearest": lambda spark, d: op9_nearest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op10_url_filter": lambda spark, d: op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
+    "op13_license_scan": lambda spark, d: op13_license_scan(documents(spark, d)),
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_minhash": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_minhash": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op13_license_scan": OP13_SQL}
