@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op9_nearest
 from .common import documents
+from .conversation_repair import OP12_SQL, op12_conversation_repair
 from .langid import op1_language_id
 from .license_scan import OP13_SQL, op13_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_substring_dedup": lambda spark, d: op8_substring_dedup(documents(spark, d)),
     "op9_nearest": lambda spark, d: op9_nearest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op10_url_filter": lambda spark, d: op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
+    "op12_conversation_repair": lambda spark, d: op12_conversation_repair(spark.read.parquet(f"{d}/conversations.parquet")),
     "op13_license_scan": lambda spark, d: op13_license_scan(documents(spark, d)),
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_minhash": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op13_license_scan": OP13_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_minhash": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_license_scan": OP13_SQL}
