@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_tokenizer_alignment
 from .ann import op9_nearest
 from .common import documents
 from .conversation_repair import OP12_SQL, op12_conversation_repair
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_substring_dedup": lambda spark, d: op8_substring_dedup(documents(spark, d)),
     "op9_nearest": lambda spark, d: op9_nearest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op10_url_filter": lambda spark, d: op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
+    "op11_tokenizer_alignment": lambda spark, d: op11_tokenizer_alignment(documents(spark, d)),
     "op12_conversation_repair": lambda spark, d: op12_conversation_repair(spark.read.parquet(f"{d}/conversations.parquet")),
     "op13_license_scan": lambda spark, d: op13_license_scan(documents(spark, d)),
 }
