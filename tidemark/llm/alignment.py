@@ -31,6 +31,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ FAN = 16  # fragments composed at a time
 BROADCAST_PAIRS = 2_000_000  # rows of a table of pairs that may be broadcast, some 50 MB
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 MARK = "▁"
+NONE = np.zeros(0, np.int64)
 
 
 @dataclass
@@ -116,65 +118,114 @@ class Tokenizers:
 
     def tokens(self, words: list[str]) -> list[tuple[list[int], list[int], bool]]:
         """Ids of both for stretches between cuts (each with the space or line feed before it), and whether they spell it."""
-        a = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
+        raw = [w.encode() for w in words]
+        a = self.first_ids(words, raw)
         # A space mark is put in front: for the space of a word, or to be taken off before a line feed.
         b = [ids[1:] if w[0] == "\n" else ids for w, ids in zip(words, self.b.encode([w if w[0] == "\n" else w[1:] for w in words], num_threads=1), strict=True)]
-        out = []
-        for w, x, y in zip(words, a, b, strict=True):
-            raw = w.encode()
-            out.append((x, y, b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw))
+        spelled = [[b"".join([table[i] for i in ids]) for ids in side] for table, side in ((self.bytes_a, a), (self.bytes_b, b))]
+        return [(x, y, r == p == q) for x, y, r, p, q in zip(a, b, raw, *spelled, strict=True)]
+
+    def first_ids(self, words: list[str], raw: list[bytes]) -> list[list[int]]:
+        """Ids of the byte-level vocabulary. Words that are cut from their neighbours anyway are tokenized some hundred at a
+        time, as one text."""
+        out: list[list[int]] = [[]] * len(words)
+        apart = []
+        joined = [i for i, w in enumerate(words) if len(w) > 1 and not w[1].isspace() and not w[-1].isspace() or apart.append(i)]
+        groups = [joined[i : i + 500] for i in range(0, len(joined), 500)]
+        for some, e in zip(groups, self.a.encode_batch_fast(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends, due = self.len_a[ids].cumsum(), np.cumsum([len(raw[i]) for i in some])
+            at = np.searchsorted(ends, due)
+            if len(ids) and at[-1] < len(ids) and (ends[at] == due).all():
+                for i, low, high in zip(some, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist(), strict=True):
+                    out[i] = ids[low:high]
+            else:
+                apart += some
+        for i, e in zip(apart, self.a.encode_batch_fast([words[i] for i in apart], add_special_tokens=False), strict=True):
+            out[i] = e.ids
         return out
 
 
 class Words:
-    """Fragments of words, each tokenized once; forgotten when they take too much room."""
+    """Fragments of words, each tokenized once; forgotten when they take too much room. Numbers and links of all words
+    are held in arrays; a batch of new words is aligned in one go, as if they were one text."""
 
-    def __init__(self, tokenizers: Tokenizers, limit: int = 48 << 20):
+    def __init__(self, tokenizers: Tokenizers, limit: int = 160 << 20):
         self.tokenizers, self.limit = tokenizers, limit
-        self.base = len(tokenizers.bytes_b)
+        n = [len(tokenizers.bytes_a), len(tokenizers.bytes_b)]
+        self.base = n[1]
+        # how a token is written inside a group and at the end of its side
+        self.forms = [[np.array([f"{i}{mark}" for i in range(k)], object) for mark in marks] for k, marks in zip(n, (",|", ",;"), strict=True)]
+        self.width = [np.array([len(x) for x in forms[0]], np.int64) for forms in self.forms]
         self.forget()
 
     def forget(self):
         self.ids: dict[str, int] = {}
         self.closed: list[bytes] = []
-        self.counts: list[tuple[int, int, int, bool]] = []  # tokens of both, groups, whether it is spelled
-        self.links: list[np.ndarray] = []
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of both, groups, whether it is spelled
+        self.first, self.links = np.zeros(1, np.int64), NONE  # the links of word i from first[i] to first[i + 1]
         self.room = 0
 
     def learn(self, words: set[str]) -> None:
         if self.room > self.limit:
             self.forget()
         new = list(words - self.ids.keys())
+        if not new:
+            return
         t = self.tokenizers
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, (a, b, ok) in zip(some, t.tokens(some), strict=True):
-                x, y = np.array(a, np.int64), np.array(b, np.int64)
-                if ok:
-                    f, la, lb = fragment(x, t.len_a[x].cumsum(), y, t.len_b[y].cumsum())
-                else:
-                    f, la, lb = Fragment(), x[:0], y[:0]
-                self.ids[w] = len(self.closed)
-                self.closed.append(f.whole())
-                self.counts.append((len(a), len(b), len(la), ok))
-                self.links.append(la * self.base + lb)
-                self.room += 300 + len(w) + len(self.closed[-1]) + 8 * len(la)
-
-    def text(self, words: list[str]) -> tuple[bool, int, int, int, np.ndarray, np.ndarray, str]:
-        """Of a text's words: spelled, tokens of both, groups, linked pairs and how often each is, hash of the groups."""
-        at = [self.ids[w] for w in words]
-        used, times = np.unique(np.array(at, np.int64), return_counts=True)
-        counts = np.array([self.counts[i] for i in used.tolist()], np.int64)
-        if not counts[:, 3].all():
-            return False, 0, 0, 0, NONE, NONE, ""
-        links = [self.links[i] for i in used.tolist()]
-        pairs, where = np.unique(np.concatenate(links), return_inverse=True)
-        n = np.bincount(where, weights=np.repeat(times, [len(x) for x in links]), minlength=len(pairs)).astype(np.int64)
-        a, b, groups = (counts[:, :3] * times[:, None]).sum(axis=0).tolist()
-        return True, a, b, groups, pairs, n, hashlib.sha256(b";".join(map(self.closed.__getitem__, at))).hexdigest()
+        tokens = t.tokens(new)
+        ok = np.array([x[2] for x in tokens])
+        self.ids.update(zip(new, range(len(self.closed), len(self.closed) + len(new)), strict=True))
+        a, b = (np.fromiter(chain.from_iterable(x[side] for x in tokens if x[2]), np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([len(x[side]) if x[2] else 0 for x in tokens], np.int64) for side in (0, 1))
+        ends_a, ends_b = t.len_a[a].cumsum(), t.len_b[b].cumsum()
+        common, ia, ib = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        groups = np.searchsorted(ia, n_a.cumsum(), side="left")  # groups before the end of each word
+        n_groups = np.diff(np.r_[0, groups])
+        # write the groups: the tokens of one side after those of the other, in place
+        ga, gb = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        at_a, at_b = np.arange(len(a)) + np.r_[0, ib[:-1] + 1][ga] if len(a) else NONE, np.arange(len(b)) + ia[gb] + 1 if len(b) else NONE
+        text, width = np.empty(len(a) + len(b), object), np.empty(len(a) + len(b), np.int64)
+        for (inside, last), ids, at, ends, wide in zip(self.forms, (a, b), (at_a, at_b), (ia, ib), self.width, strict=True):
+            text[at] = inside[ids]
+            text[at[ends]] = last[ids[ends]]
+            width[at] = wide[ids]
+        line, stops = "".join(text.tolist()).encode(), np.r_[0, width.cumsum()][(n_a + n_b).cumsum()].tolist()
+        self.closed += [line[low : max(low, high - 1)] for low, high in zip([0, *stops], stops)]  # noqa: B905
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, ok], axis=1)])
+        self.links = np.concatenate([self.links, a[ia] * self.base + b[ib]])
+        self.first = np.r_[self.first, self.first[-1] + groups]
+        self.room += 300 * len(new) + len(line) + 8 * len(ia)
+
+    def texts(self, texts: list[list[str]]) -> list[tuple]:
+        """For each text (its words): spelled, tokens of both, groups, linked pairs and how often each is, hash of the groups."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = list(map(self.ids.__getitem__, chain.from_iterable(texts)))
+        at, owner = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), sizes)
+        sums = np.zeros((len(texts), 4), np.int64)
+        np.add.at(sums, owner, self.counts[at]) if len(at) else None
+        spelled = (sums[:, 3] == sizes) & (sizes > 0)
+        sums[~spelled] = 0
+        # words, then pairs, each once a text with the number of its places
+        some = spelled[owner]
+        used, times = np.unique(owner[some] * len(self.closed) + at[some], return_counts=True)
+        who, word = np.divmod(used, max(1, len(self.closed)))
+        n = np.diff(self.first)[word]
+        place = np.repeat(self.first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.repeat(who, n) * PAIRS + self.links[place]
+        pairs, where = np.unique(key, return_inverse=True)
+        total = np.bincount(where, weights=np.repeat(times, n), minlength=len(pairs)).astype(np.int64)
+        edges = np.searchsorted(pairs, np.arange(len(texts) + 1) * PAIRS).tolist()
+        pairs %= PAIRS
+        out, low = [], 0
+        for i, size in enumerate(sizes.tolist()):
+            hashed = hashlib.sha256(b";".join([self.closed[w] for w in flat[low : low + size]])).hexdigest() if spelled[i] else ""
+            out.append((bool(spelled[i]), *sums[i, :3].tolist(), pairs[edges[i] : edges[i + 1]], total[edges[i] : edges[i + 1]], hashed))
+            low += size
+        return out
 
 
-NONE = np.zeros(0, np.int64)
+PAIRS = 1 << 40  # more than there are pairs of ids
 
 
 def ranges(words: list[str], size: int) -> Iterator[tuple[int, bytes, int, int]]:
@@ -223,14 +274,11 @@ def align(docs: DataFrame, first: str, second: str, *, text="text", keep=("doc_i
                     texts.append([])
             long = [t and sum(map(len, t)) > size // 4 and len("".join(t).encode()) > size for t in texts]
             words.learn({w for t, big in zip(texts, long, strict=True) if not big for w in t})
-            out, at = [], []
-            for i, (t, big) in enumerate(zip(texts, long, strict=True)):
-                if big:
-                    for n, raw, low, high in ranges(t, size):
-                        out.append((None, 0, 0, 0, NONE, NONE, "", n, raw, low, high))
-                        at.append(i)
-                else:
-                    out.append((*(words.text(t) if t else (False, 0, 0, 0, NONE, NONE, "")), 0, None, 0, 0))
+            at = [i for i, big in enumerate(long) if not big]
+            out = [(*x, 0, None, 0, 0) for x in words.texts([texts[i] for i in at])]
+            for i in [i for i, big in enumerate(long) if big]:
+                for n, raw, low, high in ranges(texts[i], size):
+                    out.append((None, 0, 0, 0, NONE, NONE, "", n, raw, low, high))
                     at.append(i)
             for a in range(0, len(out), 1024):
                 cols = list(zip(*out[a : a + 1024], strict=True))
