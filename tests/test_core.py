@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import clean, pii
 from tidemark.operators import alerts, cdc, comply, evolve, govern, lineage, quality, sensitive
 from tidemark.plans.registry import Tables
-from tidemark.sources import scan, sinks
+from tidemark.sources import deltas, scan, sinks
 from tidemark.streaming import changes
 
 SF = "/root/testdata/sf0.001"
@@ -132,10 +132,10 @@ def test_tombstones_go(spark, tmp_path):
     spark.createDataFrame(log, LOG).write.parquet(str(tmp_path / "in"))
     stream = changes.read_changes(spark, str(tmp_path / "in"), LOG)
     table = str(tmp_path / "table")
-    changes.apply_stream(stream, table, str(tmp_path / "c"), keys=["k"], columns=["v"], buckets=4).awaitTermination()
-    assert sinks.current(spark, table).count() == 2 and [tuple(r) for r in changes.live(spark, table).collect()] == [(2, 6)]
-    changes.compact(spark, table, 1, keys=["k"], buckets=4, before=3)
-    assert sinks.current(spark, table).count() == 1 and changes.live(spark, table).count() == 1
+    changes.apply_stream(stream, table, str(tmp_path / "c"), keys=["k"], columns=["v"]).awaitTermination()
+    assert deltas.current(spark, table).count() == 2 and [tuple(r) for r in changes.live(spark, table).collect()] == [(2, 6)]
+    changes.compact(spark, table, before=3, small=10)
+    assert deltas.current(spark, table).count() == 1 and changes.live(spark, table).count() == 1
 
 
 def test_unknown_operations_say_nothing(spark):

@@ -47,12 +47,6 @@ def fingerprint(text: Column, collapse: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " ")) if collapse else out
 
 
-def without_noise(text: Column) -> Column:
-    """Text without comments and string literals, for table names."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/|--[^\n]*", " "), "'[^']*'", "''")
-
-
-def tables(text: Column, clean: bool = False) -> Column:
-    """Names after FROM, JOIN, INTO and UPDATE, lower case."""
-    found = F.regexp_extract_all(without_noise(text) if clean else text, F.lit(TABLES), 1)
-    return F.array_distinct(F.transform(found, F.lower))
+def tables(text: Column) -> Column:
+    """Names after FROM, JOIN, INTO and UPDATE, lower case; sqlscope tells them from strings and comments."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TABLES), 1), F.lower))

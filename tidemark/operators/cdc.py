@@ -97,6 +97,40 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return found.select("operation", "row_data", *[F.when(F.col("_new"), F.col(k)).otherwise(F.col(f"_o_{k}")).alias(k) for k in keys]).select("operation", F.to_json(F.struct(*keys)).alias("pk_values"), "row_data", *keys)
 
 
+def copies(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Each different row once, with the number of its copies. Copies are combined before the shuffle, however many."""
+    return df.groupBy(*columns).agg(F.count("*").alias(name))
+
+
+def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """D7 for tables without a key: the rows of which the versions hold different numbers: operation I or D, and copies,
+    by how many. Null equals null."""
+    columns = new.columns
+    a = copies(old.select(*columns), columns, "_a").select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(columns)], "_a")
+    both = copies(new, columns, "_b").join(a, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(columns)]), "full_outer")
+    more = F.coalesce(F.col("_b"), F.lit(0)) - F.coalesce(F.col("_a"), F.lit(0))
+    found = both.select(*[F.when(F.col("_b").isNotNull(), F.col(c)).otherwise(F.col(f"_o{i}")).alias(c) for i, c in enumerate(columns)], more.alias("_more")).where("_more <> 0")
+    return found.select(*columns, F.when(F.col("_more") > 0, "I").otherwise("D").alias("operation"), F.abs("_more").alias("copies"))
+
+
+def numbered(counts: DataFrame, name: str = "copies", block: int = 1000) -> DataFrame:
+    """Each row as often as its count says, with nth from 0: together they name an occurrence. Blocks of copies are spread
+    before they are unfolded, so that a row with a third of all copies is not one task's."""
+    blocks = counts.where(F.col(name) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(name) - 1) / block).cast("long"))))
+    first = F.col("_block") * block
+    spread = blocks.repartition(*blocks.columns)
+    return spread.withColumn("nth", F.explode(F.sequence(first, F.least(F.col(name), first + block) - 1))).drop("_block", name)
+
+
+def multiset_apply(target: DataFrame, changes: DataFrame) -> DataFrame:
+    """B4, D4, D6 for tables without a key: target after changes (its columns, operation, copies): a delete takes as many
+    copies as it says, and no more than there are."""
+    columns = target.columns
+    signed = F.when(F.col("operation") == "D", -F.col("copies")).otherwise(F.col("copies"))
+    every = copies(target, columns, "_n").unionByName(changes.where(F.col("operation").isin("I", "D")).select(*columns, signed.alias("_n")))
+    return numbered(every.groupBy(*columns).agg(F.sum("_n").alias("copies"))).select(*columns)
+
+
 def changed_fields(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in both versions that differ, with the names of the columns that do."""
     columns = [c for c in new.columns if c not in keys]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import manysearch
+
 YEARS = [("7_YEARS", 7), ("5_YEARS", 5), ("3_YEARS", 3), ("2_YEARS", 2), ("1_YEAR", 1)]
 
 
@@ -53,14 +55,22 @@ def subject_columns(columns: DataFrame) -> DataFrame:
     return columns.where(F.col("contains_pii") | F.lower("column_name").rlike("email|name|user|person")).select("table_name", "column_name").distinct()
 
 
+NAME_LETTERS = 200_000  # letters of names that one automaton holds; it is broadcast
+
+
 def holding(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    """df with the request_id of each name (request_id, _n) that the column holds, whatever its case. Names meet by
-    their first three characters (fewer if they are shorter), so that few texts are searched for a name."""
-    lower = F.lower(column)
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lower) - n + 1)), lambda i: F.substring(lower, i, F.lit(n)))
-    grams = F.array_distinct(F.concat(*map(pieces, (1, 2, 3))))
-    met = df.withColumn("_gram", F.explode(grams)).join(names.withColumn("_gram", F.substring("_n", 1, 3)), "_gram")
-    return met.where(F.contains(lower, F.col("_n"))).select("request_id", *df.columns)
+    """df with the request_id of each name (request_id, _n) that the column holds, whatever its case. An automaton of all
+    names runs once over each text; where they have more letters than one may hold, names are dealt to several,
+    each with a run of its own. Only rows that hold a name go on."""
+    words = names.where(F.length("_n") > 0).select("_n").distinct()
+    letters = words.agg(F.sum(F.length("_n"))).first()[0] or 0
+    blocks = -(-letters // NAME_LETTERS)
+    found = []
+    for k in range(blocks):
+        find = manysearch.finder(df.sparkSession, [r["_n"] for r in words.where(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == k).collect()])
+        found.append(df.withColumn("_names", find(F.lower(column))).where(F.size("_names") > 0))
+    met = reduce(DataFrame.unionByName, found) if found else df.limit(0).withColumn("_names", F.array().cast("array<string>"))
+    return met.withColumn("_n", F.explode("_names")).join(names, "_n").select("request_id", *df.columns)
 
 
 def subject_matches(df: DataFrame, requests: DataFrame, *, email: list[str], name: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sqltext
+from ..functions import sqlscope, sqltext
 
 
 def edge_key(*parts: str) -> Column:
@@ -29,12 +29,15 @@ CONFIDENCE = {"PROCEDURE": 0.8, "VIEW": 0.9, "TRIGGER": 0.85}
 
 
 def text_references(definitions: DataFrame, *, clean: bool = False) -> DataFrame:
-    """An edge for each table that a definition's text names; self-references go. `orders` stays one name."""
-    rows = definitions.select("schema_name", "object_name", "object_type", F.explode(sqltext.tables(F.col("text"), clean)).alias("name"))
-    dotted = F.contains(F.col("name"), F.lit("."))
-    edges = rows.select("schema_name", "object_name", "object_type", F.when(dotted, F.split_part("name", F.lit("."), F.lit(1))).otherwise(F.col("schema_name")).alias("target_schema_name"), F.when(dotted, F.split_part("name", F.lit("."), F.lit(2))).otherwise(F.col("name")).alias("target_object_name"))
+    """An edge for each table that a definition's text names; self-references go. By patterns, or with clean by
+    tokens and scopes: then strings, comments and common table expressions name no tables, and quoted names and lists do."""
+    parts = sqlscope.scoped_tables(F.col("text")) if clean else F.transform(sqltext.tables(F.col("text")), lambda n: F.split(n, r"\."))
+    rows = definitions.select("schema_name", "object_name", "object_type", F.explode(parts).alias("parts"))
+    last = lambda n: F.element_at("parts", -n)
+    schema = F.when(F.size("parts") > 1, F.get("parts", F.size("parts") - 2)).otherwise(F.col("schema_name"))
+    edges = rows.select("schema_name", "object_name", "object_type", schema.alias("target_schema_name"), last(1).alias("target_object_name"))
     score = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])[F.col("object_type")]
-    edges = edges.where(~((F.lower("object_name") == F.col("target_object_name")) & (F.lower("schema_name") == F.lower("target_schema_name")))).distinct()
+    edges = edges.where(~((F.lower("object_name") == F.lower("target_object_name")) & (F.lower("schema_name") == F.lower("target_schema_name")))).distinct()
     return edges.withColumn("confidence_score", score).withColumn("dependency_level", F.lit(2)).withColumn("edge_key", edge_key("schema_name", "object_name", "target_schema_name", "target_object_name", "object_type"))
 
 

@@ -95,6 +95,11 @@ FIXTURES = {
     "app_logs": """SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'ERROR' ELSE 'CRITICAL' END AS level, CASE event_id % 3 WHEN 0 THEN 'TRANSFER' WHEN 1 THEN 'DATABASE' ELSE 'GOVERNANCE' END AS category, 'fn' || cast(user_id % 13 AS string) AS function, 'user ' || cast(user_id AS string) || ' did ' || event_type AS message FROM {events}""",
     "definitions": """SELECT o_orderkey AS def_id, 's' || cast(o_custkey % 5 AS string) AS schema_name, 'obj' || cast(o_orderkey AS string) AS object_name, CASE o_orderkey % 3 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'PROCEDURE' ELSE 'TRIGGER' END AS object_type,
         CASE o_orderkey % 4 WHEN 0 THEN 'SELECT * FROM sales.orders o JOIN customer c ON o.k = c.k' WHEN 1 THEN 'BEGIN INSERT INTO audit.log_' || cast(o_custkey % 9 AS string) || ' SELECT 1; UPDATE part SET x = 1; END' WHEN 2 THEN 'select a from lineitem, part left join t' || cast(o_custkey % 50 AS string) || ' on true' ELSE 'SELECT 1' END AS text FROM {orders}""",
+    # SQL in which strings, comments, quoted names, common table expressions and lists stand where tables could.
+    "definitions_odd": """SELECT o_orderkey AS def_id, 's' || cast(o_custkey % 5 AS string) AS schema_name, 'obj' || cast(o_orderkey AS string) AS object_name, CASE o_orderkey % 3 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'PROCEDURE' ELSE 'TRIGGER' END AS object_type,
+        o_orderkey % 8 AS kind, o_custkey % 9 AS n, CASE o_orderkey % 8 WHEN 0 THEN 'SELECT ''-- FROM no1'' AS a FROM Sales.Orders /* JOIN no2 */ o' WHEN 1 THEN 'WITH c AS (SELECT * FROM part), d (x) AS (SELECT * FROM c JOIN lineitem ON true) SELECT * FROM c, d'
+        WHEN 2 THEN 'SELECT "FROM no3", ''it'' || '' /* '' FROM supplier -- */ FROM no4' WHEN 3 THEN 'INSERT INTO "My Table" SELECT * FROM a.b.c WHERE x = ''FROM no5''' WHEN 4 THEN 'select 1 from t' || cast(o_custkey % 9 AS string) || ', region as r where exists (select 1 from nation n2, (select 1 from events) e)'
+        WHEN 5 THEN 'WITH orders AS (SELECT * FROM orders) UPDATE stock SET x = extract(year from d) FROM orders' WHEN 6 THEN 'MERGE INTO tgt USING (SELECT * FROM src' || cast(o_custkey % 9 AS string) || ') s ON s.a = tgt.a WHEN MATCHED THEN UPDATE SET a = 1' ELSE 'SELECT $$ FROM no6 $$ -- FROM no7' END AS text FROM {orders}""",
     "def_lines": """SELECT def_id, schema_name, object_name, object_type, n.n AS line, CASE n.n WHEN 1 THEN substr(text, 1, 20) WHEN 2 THEN substr(text, 21, 20) ELSE substr(text, 41) END AS text FROM {definitions} CROSS JOIN (VALUES (1), (2), (3)) AS n(n)""",
     "edges": """SELECT 'e' || cast(l_partkey AS string) || '_' || cast(l_suppkey AS string) AS edge_key, 's' || cast(l_suppkey % 3 AS string) AS server_name, 'd' || cast(l_suppkey % 4 AS string) AS database_name, 't' || cast(l_partkey AS string) AS object_name, 't' || cast(l_suppkey AS string) AS target_object_name,
         CASE l_suppkey % 3 WHEN 0 THEN 'FOREIGN_KEY' WHEN 1 THEN 'READS' ELSE 'WRITES' END AS relationship_type, CASE l_suppkey % 4 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'TABLE' ELSE 'PROCEDURE' END AS object_type, cast(l_suppkey % 3 + 1 AS int) AS dependency_level, cast(50 + l_suppkey % 51 AS double) / 100 AS confidence_score, l_shipdate AS seen_at, l_orderkey * 10 + l_linenumber AS seen_id FROM {lineitem}""",

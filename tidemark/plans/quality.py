@@ -306,6 +306,16 @@ EDGES = f"""n AS (SELECT schema_name, object_name, object_type, unnest(list_dist
 e AS (SELECT DISTINCT schema_name, object_name, object_type, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) ELSE schema_name END AS target_schema_name, CASE WHEN contains(name, '.') THEN split_part(name, '.', 2) ELSE name END AS target_object_name FROM n)"""
 
 
+def _scoped(kind: str):
+    return f"""SELECT DISTINCT d.schema_name, d.object_name, coalesce(v.s, d.schema_name) AS target_schema_name, v.t || CASE WHEN v.t IN ('t', 'src') THEN cast(d.n AS string) ELSE '' END AS target_object_name FROM {{definitions_odd}} d
+JOIN (VALUES (0, 'sales', 'orders'), (1, NULL, 'part'), (1, NULL, 'lineitem'), (2, NULL, 'supplier'), (3, NULL, 'My Table'), (3, 'b', 'c'), (4, NULL, 't'), (4, NULL, 'region'), (4, NULL, 'nation'), (4, NULL, 'events'), (5, NULL, 'orders'), (5, NULL, 'stock'), (6, NULL, 'tgt'), (6, NULL, 'src')) AS v(k, s, t)
+ON v.k = d.kind WHERE d.object_type = '{kind}'"""
+
+
+for _name, _kind in (("i2_scoped_references", "PROCEDURE"), ("i3_scoped_views", "VIEW"), ("i4_scoped_triggers", "TRIGGER")):
+    query(_name, _scoped(_kind))(lambda t, kind=_kind: lineage.text_references(t.definitions_odd.where(F.col("object_type") == kind), clean=True).select("schema_name", "object_name", "target_schema_name", "target_object_name"))
+
+
 @query("i2_text_references", f"WITH {EDGES} SELECT *, CASE object_type WHEN 'PROCEDURE' THEN 0.8 WHEN 'VIEW' THEN 0.9 ELSE 0.85 END::double AS confidence_score, 2 AS dependency_level, concat_ws('|', schema_name, object_name, target_schema_name, target_object_name, object_type) AS edge_key FROM e")
 def i2(t):
     return lineage.text_references(t.definitions)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import cdc, evolve
-from ..sources import scan, sinks
+from ..operators import cdc, digest, evolve
+from ..sources import scan, scratch, sinks
 from .registry import as_of, query
 
 KEYS, IMAGE = "user_id long", "cents long, kind string"
@@ -85,7 +85,10 @@ def a11(t):
     return scan.script_rows(rows, _metric_rows, "nation string, metric string, value long")
 
 
-@query("a12_tables", "SELECT table_name, count(*) AS columns FROM information_schema.columns WHERE table_schema = 'main' GROUP BY 1")
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("a12_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS columns FROM (DESCRIBE SELECT * FROM {n})" for n in GIVEN))
 def a12(t):
     return scan.folder_tables(t.spark, t.sf_dir)
 
@@ -267,13 +270,54 @@ def d6(t):
     return t.orders_new.select("o_orderkey", cdc.row_hash(["o_orderkey", "o_orderstatus", "cents"]).alias("h"))
 
 
-@query("d7_snapshot_diff", """SELECT CASE WHEN a.o_orderkey IS NULL THEN 'I' WHEN b.o_orderkey IS NULL THEN 'D' ELSE 'U' END AS operation, coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, '{"o_orderkey":' || coalesce(a.o_orderkey, b.o_orderkey) || '}' AS pk_values,
+DIFF = """SELECT CASE WHEN a.o_orderkey IS NULL THEN 'I' WHEN b.o_orderkey IS NULL THEN 'D' ELSE 'U' END AS operation, coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, '{"o_orderkey":' || coalesce(a.o_orderkey, b.o_orderkey) || '}' AS pk_values,
 CASE WHEN b.o_orderkey IS NOT NULL THEN '{"o_custkey":' || b.o_custkey || CASE WHEN b.o_orderstatus IS NULL THEN '' ELSE ',"o_orderstatus":"' || b.o_orderstatus || '"' END || ',"cents":' || b.cents || '}' END AS row_data
-FROM {orders_old} a FULL JOIN {orders_new} b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR (a.o_custkey, a.o_orderstatus, a.cents) IS DISTINCT FROM (b.o_custkey, b.o_orderstatus, b.cents)""")
+FROM {orders_old} a FULL JOIN {orders_new} b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR (a.o_custkey, a.o_orderstatus, a.cents) IS DISTINCT FROM (b.o_custkey, b.o_orderstatus, b.cents)"""
+
+
+@query("d7_snapshot_diff", DIFF)
 def d7(t):
     return cdc.diff(t.orders_old, t.orders_new, ["o_orderkey"])
 
 
+@query("d7_digest_diff", DIFF)
+def d7_digest(t):
+    return digest.diff(t.orders_old, t.orders_new, ["o_orderkey"])
+
+
+@query("d7_stored_digests", DIFF)
+def d7_stored(t):
+    path = scratch.folder(t.spark, "digests")
+    digest.store(t.orders_old, f"{path}/old", ["o_orderkey"])
+    digest.store(t.orders_new, f"{path}/new", ["o_orderkey"])
+    return digest.stored_diff(t.spark, f"{path}/old", f"{path}/new", ["o_orderkey"])
+
+
+COPIES = "o AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_quantity < 25 THEN NULL ELSE l_tax END AS tax FROM lineitem WHERE l_linenumber <= 4), w AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_quantity < 20 THEN NULL ELSE l_tax END AS tax FROM lineitem WHERE l_linenumber >= 2)"
+
+
+def _copies(t):
+    tax = lambda n: F.when(F.col("l_quantity") < n, F.lit(None)).otherwise(F.col("l_tax")).alias("tax")
+    return t.lineitem.where("l_linenumber <= 4").select("l_returnflag", "l_linestatus", tax(25)), t.lineitem.where("l_linenumber >= 2").select("l_returnflag", "l_linestatus", tax(20))
+
+
+@query("d7_multiset_diff", f"WITH {COPIES} SELECT l_returnflag, l_linestatus, tax, operation, count(*) AS copies FROM (SELECT *, 'D' AS operation FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM w) UNION ALL SELECT *, 'I' FROM (SELECT * FROM w EXCEPT ALL SELECT * FROM o)) GROUP BY 1, 2, 3, 4")
+def d7_multiset(t):
+    return cdc.multiset_diff(*_copies(t))
+
+
+@query("b4_multiset_apply", f"WITH {COPIES} SELECT * FROM w")
+def b4_multiset(t):
+    old, new = _copies(t)
+    return cdc.multiset_apply(old, cdc.multiset_diff(old, new))
+
+
+@query("d6_occurrences", f"WITH {COPIES} SELECT l_returnflag, l_linestatus, tax, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, tax) - 1 AS nth FROM o")
+def d6_occurrences(t):
+    old = _copies(t)[0]
+    return cdc.numbered(cdc.copies(old, old.columns, "copies"))
+
+
 @query("d4_images_told_apart", "SELECT o.id, o.a, o.b FROM {notes_old} o WHERE NOT EXISTS (SELECT 1 FROM {notes_new} n WHERE n.id = o.id AND n.a IS NOT DISTINCT FROM o.a AND n.b IS NOT DISTINCT FROM o.b)")
 def d4_images(t):
     return cdc.delete_by_image(t.notes_old, t.notes_new, ["id", "a", "b"])
@@ -314,6 +358,13 @@ def d15(t):
     return cdc.reconcile(t.orders_new, t.orders_old, ["o_custkey"])
 
 
+@query("d15_digest_reconcile", """WITH x AS (SELECT o_custkey FROM (SELECT * FROM {orders_new} EXCEPT ALL SELECT * FROM {orders_old}) UNION SELECT o_custkey FROM (SELECT * FROM {orders_old} EXCEPT ALL SELECT * FROM {orders_new})),
+g AS (SELECT o_custkey, sum(s) AS source_rows, sum(t) AS target_rows FROM (SELECT o_custkey, 1 AS s, 0 AS t FROM {orders_new} UNION ALL SELECT o_custkey, 0, 1 FROM {orders_old}) GROUP BY o_custkey)
+SELECT o_custkey, cast(source_rows AS bigint) AS source_rows, cast(target_rows AS bigint) AS target_rows, o_custkey NOT IN (SELECT o_custkey FROM x) AS in_sync FROM g""")
+def d15_digest(t):
+    return digest.reconcile(t.orders_new, t.orders_old, ["o_custkey"])
+
+
 @query("d14_next_action", """SELECT c.schema_name, c.table_name, CASE WHEN upper(status) IN ('FULL_LOAD', 'RESET') THEN 'FULL_LOAD' WHEN live_rows = 0 AND table_size = 0 THEN 'NO_DATA' WHEN live_rows < table_size THEN 'FULL_LOAD' WHEN upper(status) = 'LISTENING_CHANGES' THEN 'CDC' WHEN live_rows = table_size THEN 'LISTENING_CHANGES' ELSE 'INCREMENTAL' END AS next_action
 FROM {catalog} c JOIN {table_stats} s USING (schema_name, table_name)""")
 def d14(t):
@@ -341,6 +392,11 @@ def d20(t):
     return cdc.delete_by_key(t.orders_old.select("o_orderkey"), t.orders_new.select("o_orderkey"), ["o_orderkey"])
 
 
+@query("d20_digest_deleted", "SELECT o_orderkey FROM {orders_old} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {orders_new})")
+def d20_digest(t):
+    return digest.deleted_keys(t.orders_old, t.orders_new, ["o_orderkey"])
+
+
 COMPATIBLE = "(o = n OR (o LIKE '%CHAR%' AND n LIKE '%CHAR%') OR (o LIKE '%INTEGER%' AND n LIKE '%BIGINT%') OR (o LIKE '%CHAR%' AND n LIKE '%TEXT%') OR (o LIKE '%TEXT%' AND n LIKE '%CHAR%') OR (o LIKE '%NUMERIC%' AND n LIKE '%NUMERIC%') OR (o LIKE '%TIME%' AND n LIKE '%TIME%'))"
 DIFF = """d AS (SELECT table_name, column_name, s.pg_type AS new_type, t.pg_type AS old_type, s.is_nullable AS nn, t.is_nullable AS tn, t.is_pk AS old_pk FROM {columns_source} s FULL JOIN {columns_target} t USING (table_name, column_name)),
 e AS (SELECT *, CASE WHEN old_type IS NULL THEN 'ADD' WHEN new_type IS NULL THEN 'DROP' WHEN old_type <> new_type OR nn <> tn THEN 'MODIFY' END AS action, old_type AS o, new_type AS n FROM d)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import comply
-from ..sources import scratch, sinks
+from ..sources import deltas, scratch, sinks
 from ..streaming import changes
 from .registry import query
 from .replication import IMAGE, KEYS, LAST, PARSED
@@ -37,6 +37,26 @@ def b3(t):
     return sinks.current(t.spark, path)
 
 
+@query("b3_merge_on_read", "SELECT user_id, cents, kind FROM {users_source} UNION ALL SELECT user_id, cents, kind FROM {users_before} WHERE user_id NOT IN (SELECT user_id FROM {users_source})")
+def b3_merge(t):
+    path = scratch.folder(t.spark, "deltas")
+    deltas.create(t.users_before, path, ["user_id"])
+    for part in range(3):
+        deltas.merge(t.users_source.where(F.col("user_id") % 3 == part), path)
+        if part == 1:
+            deltas.compact(t.spark, path, share=0.5)
+    return deltas.current(t.spark, path)
+
+
+@query("b3_versions_read", "SELECT v.v AS version, count(*) AS n, cast(sum(x.cents) AS bigint) AS cents FROM (SELECT 0 AS v, cents FROM {users_before} UNION ALL SELECT 1, cents FROM {users_source} UNION ALL SELECT 1, cents FROM {users_before} WHERE user_id NOT IN (SELECT user_id FROM {users_source}) UNION ALL SELECT 2, cents FROM {users_source} WHERE user_id % 2 = 0 UNION ALL SELECT 2, cents FROM {users_before} WHERE user_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM {users_source})) x JOIN (VALUES (0), (1), (2)) AS v(v) ON v.v = x.v GROUP BY v.v")
+def b3_versions(t):
+    path = scratch.folder(t.spark, "deltas")
+    deltas.create(t.users_before, path, ["user_id"])
+    deltas.merge(t.users_source, path)
+    deltas.remove(t.users_source.unionByName(t.users_before).where("user_id % 2 <> 0").select("user_id"), path)
+    return sinks.union_all([deltas.current(t.spark, path, number=n).agg(F.count("*").alias("n"), F.sum("cents").alias("cents")).select(F.lit(n).alias("version"), "n", "cents") for n in range(3)])
+
+
 @query("b6_archive", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'")
 def b6(t):
     path = scratch.folder(t.spark, "archive")
@@ -68,6 +88,21 @@ def d11(t):
     return changes.live(t.spark, f"{root}/table")
 
 
+@query("d11_late_changes", f"WITH {PARSED}, {LAST} SELECT user_id, cents, kind FROM l WHERE operation <> 'D'")
+def d11_late(t):
+    from ..operators import cdc
+
+    path = scratch.folder(t.spark, "late")
+    log = cdc.known(cdc.parse(t.change_log.select("change_id", "operation", "pk_values", "row_data"), KEYS, IMAGE).drop("has"))
+    for i, part in enumerate((2, 0, 1, 0)):  # parts of the log out of order, one of them twice
+        rows = cdc.latest(cdc.keyed(log.where(F.col("change_id") % 3 == part), ["user_id"]), ["user_id"]).select("user_id", "cents", "kind", F.col("change_id").alias("_change_id"), (F.col("operation") == "D").alias("_deleted"))
+        if i:
+            deltas.merge(rows, path, order="_change_id")
+        else:
+            deltas.create(rows, path, ["user_id"])
+    return changes.live(t.spark, path)
+
+
 @query("d12_document_stream", """WITH x AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'D' ELSE 'U' END AS op, substr(md5(cast(event_id % 300 AS string)), 1, 24) AS _id, '{"_id": "' || substr(md5(cast(event_id % 300 AS string)), 1, 24) || '", "kind": "' || event_type || '"}' AS _document FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY event_id DESC) AS n FROM x) SELECT _id, _document FROM r WHERE n = 1 AND op = 'U'""")
 def d12(t):
@@ -76,5 +111,5 @@ def d12(t):
     doc = F.concat(F.lit('{"_id": "'), id, F.lit('", "kind": "'), "event_type", F.lit('"}'))
     t.events.select(F.col("event_id").alias("change_id"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("update").alias("kind"), doc.alias("doc")).write.parquet(f"{root}/in")
     stream = changes.document_changes(changes.read_changes(t.spark, f"{root}/in", "change_id long, kind string, doc string"))
-    changes.apply_stream(stream, f"{root}/table", f"{root}/checkpoint", keys=["_id"], columns=["_document"]).awaitTermination()
+    changes.apply_stream(stream, f"{root}/table", f"{root}/checkpoint", keys=["_id"], columns=["_document"], most=10_000).awaitTermination()
     return changes.live(t.spark, f"{root}/table")
