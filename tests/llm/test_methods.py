@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import ann, common, langid, line_dedup, minhash_join, mixing, queries, sentencepiece_codec, substring_dedup, tiff_media, toxicity, url_filter
 
@@ -302,21 +303,52 @@ def test_the_schedule_decides_the_mix(docs, monkeypatch):
     assert back["taken"].equals(whole["taken"]) and not back["first_slot"].equals(whole["first_slot"])
 
 
-def test_mix_against_a_plain_walk_over_the_schedule(spark):
-    """Every slot in turn takes the next words of its source: what is taken of each document, and where first."""
-    r = random.Random(9)
-    items = [(r.randrange(40), r.choice(["a", "b", "c", None]), r.choice([0, 1, 7, 90])) for _ in range(120)] + [(5, "a", 7)] * 30
-    got = mixing.mix(spark.createDataFrame(items, "doc_id long, source string, size long"), block=4)
-    frame = got.toPandas()
-    assert len(frame) == len(items) and sorted(zip(frame["doc_id"], frame["source"].fillna("-"), frame["size"], strict=True)) == sorted((d, s or "-", n) for d, s, n in items)
-    for _, group in frame.groupby("source", dropna=False):
-        taken, size = group["taken"].sum(), group["source_size"].iloc[0]
-        assert abs(taken - group["target"].iloc[0]) <= 0.5 and size == group["size"].sum()
-        epochs = [taken // size, -(-taken // size)] if size else [0]
-        inside = (group["taken"] >= epochs[0] * group["size"]) & (group["taken"] <= epochs[-1] * group["size"])
-        assert inside.all() and ((group["taken"] % group["size"].clip(lower=1)) != 0).sum() <= 1  # one document is cut
-    used = frame[frame["taken"] > 0].groupby("source", dropna=False)["first_slot"].agg(["min", "count"])
-    assert (used["min"] < 64).all()  # every source comes early
+def walked(spark, items, block):
+    """Every slot in turn takes the next words of its source: (doc_id, source, size) -> sorted (taken, first slot)."""
+    sized = spark.createDataFrame(items, "doc_id long, source string, size long")
+    rows = sorted((r["mixed"], r["doc_id"], r["source"] or "", r["size"], r["source"]) for r in sized.select("*", F.xxhash64(F.lit(7), "doc_id", "source", "size").alias("mixed")).collect())
+    goals = sorted((r["nth"], r["source"], int(r["target"] + 0.5)) for r in mixing.targets(sized).collect())
+    streams, blocks, owner = [], [], []
+    for nth, source, give in goals:
+        mine = [i for i, r in enumerate(rows) if r[4] == source]
+        words = [i for i in mine for _ in range(rows[i][3])] * 3
+        streams.append(words[:give])
+        blocks.append(-(-give // block))
+        owner += [nth] * blocks[-1]
+    slots = 1 << max(0, (len(owner) - 1).bit_length())
+    bits = slots.bit_length() - 1
+    taken, first, at = [0] * len(rows), [None] * len(rows), [0] * len(goals)
+    for slot in range(slots):
+        point = int(f"{slot:0{bits}b}"[::-1], 2) if bits else 0
+        if point < len(owner):
+            nth = owner[point]
+            for i in streams[nth][at[nth] : at[nth] + block]:
+                taken[i] += 1
+                first[i] = slot if first[i] is None else first[i]
+            at[nth] += block
+    assert all(a >= len(x) for a, x in zip(at, streams, strict=True))
+    out = {}
+    for i, r in enumerate(rows):
+        out.setdefault((r[1], r[4], r[3]), []).append((taken[i], -1 if first[i] is None else first[i]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize(("seed", "block"), [(9, 4), (10, 1), (11, 50)])
+def test_mix_against_a_walk_over_the_schedule(spark, seed, block):
+    r = random.Random(seed)
+    items = [(r.randrange(40), r.choice(["a", "b", "c", None]), r.choice([0, 1, 7, 90])) for _ in range(120)] + [(5, "a", 7)] * 30 + [(1, "e", 1), (2, "f", 2)]
+    got = {}
+    for x in mixing.mix(spark.createDataFrame(items, "doc_id long, source string, size long"), block=block).collect():
+        got.setdefault((x["doc_id"], x["source"], x["size"]), []).append((x["taken"], -1 if x["first_slot"] is None else x["first_slot"]))
+    assert {k: sorted(v) for k, v in got.items()} == walked(spark, items, block)
+
+
+def test_small_sources_are_not_lost(spark):
+    items = [(1, "a", 1), (2, "b", 2), (3, "c", 3), (4, "d", 7), *[(10 + i, "z", 1_000_000) for i in range(6)]]
+    got = mixing.mix(spark.createDataFrame(items, "doc_id long, source string, size long")).toPandas()
+    by = got.groupby("source")
+    assert (by["taken"].sum()[["a", "b", "c", "d"]] == by["target"].first()[["a", "b", "c", "d"]]).all() and by["taken"].sum()["a"] == 3
+    assert ((by["taken"].sum() - by["target"].first()).abs() <= 0.5).all()
 
 
 def test_sums_before(spark):
@@ -580,14 +612,36 @@ def test_cascade_is_exact_over_its_universe(spark):
     hosts = [f"h{r.randrange(300)}.d{r.randrange(60)}.com" for _ in range(3000)]
     urls = spark.createDataFrame([(h, f"/p{r.randrange(9)}/x") for h in hosts], "host string, path string")
     rules = [(f"d{i}.com", f"/p{i % 9}", "block") for i in range(0, 60, 2)] + [(h, "/", "allow") for h in sorted(set(hosts))[:50]]
-    cascade = url_filter.build(urls, spark.createDataFrame(rules, "host string, path string, verdict string"))
-    listed = {h + p for h, p, _ in rules}
-    keys = sorted({k for x in urls.collect() for k in cascade.keys(x["host"], x["path"])})
-    hit = cascade.listed(np.array([url_filter.key_hash(k) for k in keys], np.uint64))
-    assert {k for k, y in zip(keys, hit, strict=True) if y} == listed & set(keys)
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    shape = url_filter.shape_of(table)
+    listed = url_filter.staged(url_filter.with_hashes(table.selectExpr("concat(host, path) AS key").distinct()))
+    cascade = url_filter.build(listed, url_filter.staged(url_filter.universe_of(urls, shape)))
+    want = {h + p for h, p, _ in rules}
+    keys = sorted({k for x in urls.collect() for k in shape.keys(x["host"], x["path"])})
+    hit = cascade.listed(url_filter.hashes_of(keys))
+    assert {k for k, y in zip(keys, hit, strict=True) if y} == want & set(keys)
     assert len(cascade.levels) > 1
 
 
+def test_verdicts_come_from_cascades(spark):
+    r = random.Random(6)
+    rules = {(f"d{i}.org", f"/{'ab'[i % 2]}"): r.choice(["allow", "block", "block", "review"]) for i in range(400)}
+    urls = spark.createDataFrame([(i, f"http://x.d{r.randrange(500)}.org/{r.choice('abc')}/{i}") for i in range(2000)], "page_id long, url string")
+    got = url_filter.judge(urls, spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string"), default="none").collect()
+    for row in got:
+        key = (row["host"].split(".", 1)[1], row["path"][:2])
+        assert (row["rule"], row["verdict"]) == (("".join(key), rules[key]) if key in rules else (None, "none"))
+    assert len(got) == 2000
+
+
+def test_hosts_of_many_labels(spark):
+    long = "http://" + "a." * 100_000 + "example.com/en/7/x"
+    label = "http://" + "b" * 200_000 + "example.com/en/7"
+    urls = spark.createDataFrame([(1, long), (2, label), (3, "http://" + "." * 100_000 + "/en/"), (4, "http://com/en/" + "x" * 100_000)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.op10_url_filter(urls).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "allow"), 4: ("com/en/", "block")}
+
+
 def test_mixed_language_spans(spark):
     english = "the weather was good and they walked along the river with their friends in the morning"
     french = "nous avons mangé une très bonne soupe avec du pain dans la cuisine de ma grand-mère"

@@ -3,10 +3,11 @@
 The words of a source form a stream: its documents in an order shuffled by hash, one after the
 other, three times over. Streams are cut into equal blocks of words. A schedule deals them out: of 2^m
 slots, slot i gets the van der Corput point of i, which falls into one source's part of [0, 1), a part
-as wide as the source's target in blocks, or into none. The k-th slot of a source takes the k-th block of its
-stream, so that the slots a source gets are what it gives, and their order is the order of the mix. As the
-first 2^m van der Corput points are evenly spaced, that is its target to half a block. Blocks have a
-2^18th of all words (at least one word, and at most `block`).
+as wide as its blocks, or into none. The k-th slot of a source takes the k-th block of its stream, so that the slots
+a source gets are what it gives, and their order is the order of the mix. A source has as many blocks as its target,
+rounded to words, fills; its last block is as short as what is left, so that every source gives its target to
+half a word. Blocks have a 2^18th of all words (at least one), or `block`, so that the schedule has some 2^18 slots
+and one for each source at any size.
 
 Ranks and stream offsets are prefix sums in two levels (within a chunk, then over the chunks), so a
 source with a third of the rows is never in one task; many sources are ranked in the same way, by ranges. Rows that
@@ -85,19 +86,19 @@ def schedule(parts: DataFrame, slots: int, chunk: int = 1 << 14) -> DataFrame:
     return owned.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["nth", "chunk"]).select("nth", "slot", (F.col("offset") + F.col("r")).alias("k"))
 
 
-def mix(sized: DataFrame, *, keep: tuple[str, ...] = (), weights=WEIGHTS, epochs: int = EPOCHS, block: int = 1024, seed: int = 7) -> DataFrame:
+def mix(sized: DataFrame, *, keep: tuple[str, ...] = (), weights=WEIGHTS, epochs: int = EPOCHS, block: int | None = None, seed: int = 7) -> DataFrame:
     """sized (doc_id, source, size and the columns in keep) with source_size, target, taken (the words that the mix
     takes) and first_slot (where it first does; null if never)."""
     alike = ["doc_id", "source", "size", *keep]
     sized = staged(sized.select(*alike))
     goal = staged(targets(sized, weights, epochs))
     total, n = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
-    block, few = max(1, min(block, total >> SLOT_BITS)), n <= FEW
-    goal = sums_before(goal.withColumn("blocks", F.round(F.col("target") / block).cast("long")), ["nth"], {"lo": "blocks"}, few)
+    block, few = block or max(1, total >> SLOT_BITS), n <= FEW
+    goal = goal.withColumn("give", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("give") / block).cast("long"))
+    goal = sums_before(goal, ["nth"], {"lo": "blocks"}, few)
     blocks = goal.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     dealt = staged(schedule(goal.select("nth", "lo", (F.col("lo") + F.col("blocks")).alias("hi")), 1 << max(0, int(blocks - 1).bit_length())))
-    given = dealt.groupBy("nth").agg((F.max("k") + 1).alias("given"))
-    side = goal.join(given, "nth", "left").select("nth", F.col("source").alias("_source"), "source_size", "target", F.coalesce("given", F.lit(0)).alias("given"), F.ceil(F.col("docs") / BUCKET_ROWS).alias("buckets"))
+    side = goal.select("nth", F.col("source").alias("_source"), "source_size", "target", "give", F.ceil(F.col("docs") / BUCKET_ROWS).alias("buckets"))
     side = F.broadcast(side) if few else staged(side)
     rows = sized.groupBy(*alike).agg(F.count("*").alias("copies")).join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("mixed", F.xxhash64(F.lit(seed), *alike)).withColumn("bucket", F.pmod("mixed", F.col("buckets")))
@@ -108,13 +109,13 @@ def mix(sized: DataFrame, *, keep: tuple[str, ...] = (), weights=WEIGHTS, epochs
     within = Window.partitionBy("nth", "bucket").orderBy("mixed", *alike)
     placed = rows.withColumn("place", F.row_number().over(within)).withColumn("ahead", F.coalesce(F.sum("words").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.join(offsets, ["nth", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    placed = staged(placed.withColumn("start", F.col("offset") + F.col("ahead") + (F.col("copy") - 1) * F.col("size")).select(*alike, "nth", "bucket", "place", "copy", "start", "source_size", "target", "given"))
+    placed = staged(placed.withColumn("start", F.col("offset") + F.col("ahead") + (F.col("copy") - 1) * F.col("size")).select(*alike, "nth", "bucket", "place", "copy", "start", "source_size", "target", "give"))
 
-    # A document lies in the stream once an epoch; each of these stretches touches a range of blocks.
+    # A document lies in the stream once an epoch; each of these stretches, up to what the source gives, touches a range of blocks.
     lies = placed.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
-    first, last = F.floor(F.col("at") / block), F.least(F.floor((F.col("at") + F.col("size") - 1) / block), F.col("given") - 1)
-    pieces = lies.select("nth", "bucket", "place", "copy", "at", "size", F.explode(F.when((F.col("size") > 0) & (last >= first), F.sequence(first, last))).alias("k"))
-    overlap = F.least(F.col("at") + F.col("size"), (F.col("k") + 1) * block) - F.greatest("at", F.col("k") * block)
+    lies = lies.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("give"))).where(F.col("end") > F.col("at"))
+    pieces = lies.select("nth", "bucket", "place", "copy", "at", "end", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))).alias("k"))
+    overlap = F.least(F.col("end"), (F.col("k") + 1) * block) - F.greatest("at", F.col("k") * block)
     got = pieces.join(dealt, ["nth", "k"]).groupBy("nth", "bucket", "place", "copy").agg(F.sum(overlap).alias("taken"), F.min("slot").alias("first_slot"))
     return placed.join(got, ["nth", "bucket", "place", "copy"], "left").select("doc_id", "source", *keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
