@@ -150,7 +150,7 @@ class Words:
     """Fragments of words, each tokenized once; forgotten when they take too much room. Numbers and links of all words
     are held in arrays; a batch of new words is aligned in one go, as if they were one text."""
 
-    def __init__(self, tokenizers: Tokenizers, limit: int = 160 << 20):
+    def __init__(self, tokenizers: Tokenizers, limit: int = 64 << 20):
         self.tokenizers, self.limit = tokenizers, limit
         n = [len(tokenizers.bytes_a), len(tokenizers.bytes_b)]
         self.base = n[1]
@@ -265,7 +265,7 @@ def align(docs: DataFrame, first: str, second: str, *, text="text", keep=("doc_i
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(Tokenizers(*files.value))
-        for batch in bounded(batches, "_text", 4 << 20):
+        for batch in bounded(batches, "_text", 2 << 20):
             texts: list[list[str]] = []
             for raw in as_bytes(batch.column("_text")):
                 try:
