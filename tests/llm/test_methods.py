@@ -530,6 +530,28 @@ def test_tiff_files_written_by_hand(spark):
     assert got == [(i, 0, False) for i in range(len(bad))] + [(len(bad), 0, True), (len(bad), 1, False), (len(bad), 2, True)]
 
 
+@pytest.mark.parametrize("kind", [tiff_media.NONE, tiff_media.LZW, tiff_media.DEFLATE, tiff_media.PACKBITS])
+def test_strips_hold_no_more_than_their_page(spark, kind):
+    """A strip of a 4 x 4 page that unfolds to far more gives an error row, and is never unfolded whole."""
+    import tracemalloc
+
+    large = tiff_media.write_pages([np.zeros((4096, 4096), np.uint8)], compression=kind, predictor=1)
+    entries = struct.unpack_from("<I", large, 4)[0]
+    small = bytearray(large)
+    for i in range(struct.unpack_from("<H", large, entries)[0]):
+        at = entries + 2 + 12 * i
+        if struct.unpack_from("<H", large, at)[0] in (tiff_media.WIDTH, tiff_media.HEIGHT, tiff_media.ROWS_PER_STRIP):
+            struct.pack_into("<I", small, at + 8, 4)
+    tracemalloc.start()
+    with pytest.raises(ValueError, match="more than its page"):
+        list(tiff_media.read_pages(bytes(small)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(large) + (1 << 20)
+    media = spark.createDataFrame([(1, bytes(small))], "doc_id long, media binary")
+    assert [r["error"] is None for r in tiff_media.pages(media).collect()] == [False]
+
+
 def test_copied_runs(spark):
     """Runs of three and more lines that stand in an earlier document, as long as they go."""
     line = lambda name, n: [f"{name}{i}" for i in range(n)]
@@ -567,15 +589,35 @@ def recall(found, x, asked):
     return np.mean([len(found.get(q, set()) & set(t)) / 20 for q, t in zip(asked, top, strict=True)])
 
 
-@pytest.mark.parametrize("n", [10_000, 50_000])
-def test_recall_of_larger_tables(spark, n):
-    """Vectors without clusters and of different norms; every 400th is a query."""
-    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32) * np.random.default_rng(1).uniform(0.8, 1.0, (n, 1)).astype(np.float32)
+@pytest.mark.parametrize(("n", "kind"), [(10_000, "one norm"), (50_000, "norms by a third"), (10_000, "log-normal 0.5"), (10_000, "log-normal 1"), (10_000, "clusters"), (500, "log-normal 1")])
+def test_recall_of_larger_tables(spark, n, kind):
+    """Vectors without clusters and of different norms, and clustered ones; every so many is a query."""
     import pyarrow as pa
 
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    if kind == "clusters":
+        x = x[rng.integers(0, 50, n)] + 0.3 * rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    norms = {"norms by a third": rng.uniform(0.75, 1, (n, 1)), "log-normal 0.5": np.exp(0.5 * rng.normal(size=(n, 1))), "log-normal 1": np.exp(rng.normal(size=(n, 1)))}
+    x = (x * norms.get(kind, 1.0)).astype(np.float32)
     df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
-    got = ann.search(df, is_query="id % 400 = 0").toPandas()
-    assert recall(got.groupby("query_id")["vec_id"].apply(set).to_dict(), x.astype(float), np.arange(0, n, 400)) >= 0.9
+    step = max(20, n // 125)
+    got = ann.search(df, is_query=f"id % {step} = 0").toPandas()
+    assert recall(got.groupby("query_id")["vec_id"].apply(set).to_dict(), x.astype(float), np.arange(0, n, step)) >= 0.9
+
+
+def test_bands_that_cannot_reach_the_best_are_left_out(spark):
+    rows = [(i, [100.0 + i, 1.0]) for i in range(5000)] + [(10_000 + i, [0.001 * (i + 1), 0.0]) for i in range(3000)] + [(20_000, [1e-170, 0.0]), (20_020, [0.0, -1e-200])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).toPandas()
+    x = {i: np.array(v) for i, v in rows}
+    ids = np.array(list(x))
+    every = np.stack([x[i] for i in ids])
+    for q in (0, 4980, 10_000, 12_980, 20_000, 20_020):
+        scores = np.where(ids == q, -np.inf, every @ x[q])
+        top = sorted(zip(-scores, ids, strict=True))[:3]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert np.allclose(mine["score"], [-s for s, _ in top], rtol=1e-12, atol=0), q
 
 
 def test_buckets_grow_with_the_table():

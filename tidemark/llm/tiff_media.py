@@ -34,9 +34,14 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 CLEAR, END = 256, 257
 
 
-def unpack_bits(data: bytes) -> bytes:
+SURPLUS = "a strip or tile holds more than its page has room for"
+
+
+def unpack_bits(data: bytes, most: int = 1 << 30) -> bytes:
     out, i, n = bytearray(), 0, len(data)
     while i < n:
+        if len(out) > most:
+            break
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -46,6 +51,8 @@ def unpack_bits(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
+    if len(out) > most:
+        raise ValueError(SURPLUS)
     return bytes(out)
 
 
@@ -76,8 +83,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """MSB-first codes of 9 to 12 bits; widths grow one code early, as TIFF has it."""
+def lzw_decode(data: bytes, most: int = 1 << 30) -> bytes:
+    """MSB-first codes of 9 to 12 bits; widths grow one code early, as TIFF has it. More than `most` bytes raise."""
+    size = 0
     table: list[bytes] = []
     out, bits, held, width, last = [], 0, 0, 9, b""
     for byte in data:
@@ -97,6 +105,9 @@ def lzw_decode(data: bytes) -> bytes:
             raise ValueError("LZW code out of range")
         entry = table[code] if code < len(table) else last + last[:1]
         out.append(entry)
+        size += len(entry)
+        if size > most:
+            raise ValueError(SURPLUS)
         if last:
             table.append(last + entry[:1])
         last = entry
@@ -140,7 +151,23 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, most + 1)
+    if len(out) > most:
+        raise ValueError(SURPLUS)
+    if not stream.eof:
+        raise ValueError("a deflated strip or tile ends early")
+    return out
+
+
+def plain(data: bytes, most: int) -> bytes:
+    if len(data) > most:
+        raise ValueError(SURPLUS)
+    return data
+
+
+DECODE = {NONE: plain, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits}
 
 
@@ -216,7 +243,7 @@ def read_page(data: bytes, index: int, order: str, f: dict[int, list[int]], max_
         rows = th if tiled else min(th, height - y)
         if offset + size > len(data):
             raise ValueError("a strip or tile lies beyond the end")
-        raw = DECODE[kind](data[offset : offset + size])
+        raw = DECODE[kind](data[offset : offset + size], rows * tw * per * dtype.itemsize)  # no more is ever held
         block = np.frombuffer(raw, dtype, rows * tw * per).reshape(rows, tw, per)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))
