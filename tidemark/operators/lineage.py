@@ -62,6 +62,27 @@ def document_references(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.withColumn("confidence_score", kind).where("confidence_score is not null").groupBy("field").agg(F.max("confidence_score").alias("confidence_score"), F.count("*").alias("documents"))
 
 
+def containment(references: DataFrame, ids: DataFrame, *, least: float = 0.5, sample: int = 4096) -> DataFrame:
+    """For each reference field the collection that holds its values: field, collection, share of the field's
+    different values that the collection has, and how many there are. references: field, value; ids: collection, id.
+
+    About `sample` different values of a field, taken by hash, are looked up in all collections; that tells the likeliest
+    one (a share is off by 0.01 or so). Only fields and collections so matched are then joined whole, for the exact
+    share. Fields whose best share is below `least` have no row; of equal shares the first collection by name counts."""
+    values = references.where("value is not null").select("field", "value").distinct()
+    sizes = values.groupBy("field").agg(F.count("*").alias("n_values"))
+    unit = F.pmod(F.xxhash64(F.lit(5), "value"), F.lit(1 << 30)) / (1 << 30)
+    taken = values.join(sizes, "field").where(unit * F.col("n_values") < sample).select("field", "value")
+    of_sample = taken.groupBy("field").agg(F.count("*").alias("m"))
+    met = ids.where("id is not null").select("collection", F.col("id").alias("value")).join(taken, "value").select("field", "collection", "value").distinct()
+    shares = met.groupBy("field", "collection").agg(F.count("*").alias("hits")).join(of_sample, "field").withColumn("share", F.col("hits") / F.col("m"))
+    top = shares.groupBy("field").agg(F.max("share").alias("top"))
+    best = shares.join(top, "field").where("share = top").groupBy("field").agg(F.min("collection").alias("collection"))
+    whole = values.join(best, "field").join(ids.select("collection", F.col("id").alias("value")).distinct(), ["collection", "value"], "left_semi")
+    exact = whole.groupBy("field", "collection").agg(F.count("*").alias("held"))
+    return exact.join(sizes, "field").select("field", "collection", (F.col("held") / F.col("n_values")).alias("share"), "n_values").where(F.col("share") >= least)
+
+
 def view_edges(collections: DataFrame) -> DataFrame:
     """I8: views and the collection that each is on."""
     return collections.where("kind = 'view' and view_on is not null").select(F.col("name").alias("object_name"), F.col("view_on").alias("target_object_name"), F.lit("VIEW_ON").alias("relationship_type"), F.lit(1.0).alias("confidence_score"))

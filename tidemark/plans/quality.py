@@ -336,6 +336,15 @@ def i7(t):
     return lineage.document_references(t.documents_json)
 
 
+@query("i7_containment", """SELECT 'ref' AS field, 'users' AS collection, cast(1 AS double) AS share, count(DISTINCT user_id) AS n_values FROM {events} WHERE event_id % 3 = 0
+UNION ALL SELECT 'owner', 'kinds', cast(count(DISTINCT CASE WHEN event_type <> 'error' THEN event_type END) AS double) / count(DISTINCT event_type), count(DISTINCT event_type) FROM {events} WHERE event_id % 4 = 0""")
+def i7_containment(t):
+    short = lambda c: F.substring(F.md5(F.col(c).cast("string")), 1, 24)
+    references = t.events.where("event_id % 3 = 0").select(F.lit("ref").alias("field"), short("user_id").alias("value")).unionByName(t.events.where("event_id % 4 = 0").select(F.lit("owner").alias("field"), short("event_type").alias("value")))
+    ids = t.events.select(F.lit("users").alias("collection"), short("user_id").alias("id")).unionByName(t.events.where("event_type <> 'error'").select(F.lit("kinds").alias("collection"), short("event_type").alias("id"))).unionByName(t.events.select(F.lit("events").alias("collection"), short("later").alias("id")))
+    return lineage.containment(references, ids)
+
+
 @query("i8_view_edges", "SELECT object_name, 't' || cast(def_id % 7 AS string) AS target_object_name, 'VIEW_ON' AS relationship_type, 1.0::double AS confidence_score FROM {definitions} WHERE object_type = 'VIEW'")
 def i8(t):
     return lineage.view_edges(t.definitions.select(F.col("object_name").alias("name"), F.lower("object_type").alias("kind"), F.concat(F.lit("t"), (F.col("def_id") % 7).cast("string")).alias("view_on")))

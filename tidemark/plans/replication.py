@@ -56,6 +56,15 @@ def a7(t):
     return scan.inferred_types(t.documents_json, "doc")
 
 
+@query("a7_nested_types", """SELECT v.path, v.sql_type FROM (VALUES ('_id', 'JSONB'), ('_id.$oid', 'TEXT'), ('user', 'BIGINT'), ('kind', 'TEXT'), ('ok', 'BOOLEAN'), ('ref', 'JSONB'), ('ref.$oid', 'TEXT'), ('owner', 'TEXT'), ('tags', 'JSONB'), ('tags[]', 'BIGINT'), ('mixed', 'JSONB'), ('mixed[]', 'NUMERIC'), ('deep', 'JSONB'), ('deep.a', 'JSONB'), ('deep.a[]', 'JSONB'), ('deep.a[].b', 'NUMERIC'), ('odd', 'JSONB')) AS v(path, sql_type)
+WHERE EXISTS (SELECT 1 FROM {documents_json})""")
+def a7_nested(t):
+    even = F.col("event_id") % 2 == 0
+    more = F.when(even, F.lit(', "mixed": [1, 2], "deep": {"a": [{"b": 1}]}, "odd": 1}')).otherwise(F.lit(', "mixed": [2.5], "deep": {"a": [{"b": 2.5}, {}]}, "odd": {"x": 1}}'))
+    docs = t.documents_json.select("event_id", F.concat(F.regexp_replace(F.regexp_replace("doc", r'"props": .*, "tags"', '"tags"'), r"\}$", ""), more).alias("doc"))
+    return scan.nested_types(docs, "doc")
+
+
 @query("a8_query_source", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def a8(t):
     return scan.run_query(t.spark, "SELECT c_mktsegment, count(*) AS n FROM {o} JOIN {c} ON o_custkey = c_custkey GROUP BY c_mktsegment", o=t.orders, c=t.customer)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import comply
+from ..operators import comply, sketches
 from ..sources import deltas, scratch, sinks
-from ..streaming import changes
+from ..streaming import changes, stateful, windows
 from .registry import query
 from .replication import IMAGE, KEYS, LAST, PARSED
 
@@ -113,3 +113,54 @@ def d12(t):
     stream = changes.document_changes(changes.read_changes(t.spark, f"{root}/in", "change_id long, kind string, doc string"))
     changes.apply_stream(stream, f"{root}/table", f"{root}/checkpoint", keys=["_id"], columns=["_document"], most=10_000).awaitTermination()
     return changes.live(t.spark, f"{root}/table")
+
+
+@query("d11_stateful_apply", f"WITH {PARSED}, {LAST} SELECT user_id, cents, kind FROM l WHERE operation <> 'D'")
+def d11_stateful(t):
+    from ..operators import cdc
+
+    root = scratch.folder(t.spark, "state")
+    log = t.change_log.select("change_id", "change_time", "operation", "pk_values", "row_data")
+    log.withColumn("change_time", F.col("change_time").cast("timestamp")).write.parquet(f"{root}/in")
+    stream = changes.read_changes(t.spark, f"{root}/in", "change_id long, change_time timestamp, operation string, pk_values string, row_data string")
+    found = stateful.effective(cdc.parse(stream, KEYS, IMAGE), ["user_id"], ["cents", "kind"], late="30 days")
+    stateful.start(found, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return stateful.rows(t.spark, f"{root}/log", ["user_id"])
+
+
+def _closed(t, rows, build):
+    """The windows that a stream over rows closes."""
+    root = scratch.folder(t.spark, "windows")
+    rows.write.parquet(f"{root}/in")
+    windows.append(build(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("k8_stream_windows", """WITH r AS (SELECT *, date_trunc('day', completed_at) AS d FROM {transfers} WHERE completed_at IS NOT NULL), x AS (SELECT d AS w, * FROM r UNION ALL SELECT d - INTERVAL 1 DAY, * FROM r)
+SELECT cast(w AS timestamp) AS window_start, cast(w + INTERVAL 2 DAY AS timestamp) AS window_end, db_engine, count(*) AS transfers, cast(sum(records_transferred) AS bigint) AS records, cast(sum(bytes_transferred) AS bigint) AS bytes, max(memory_used_mb) AS memory_mb, cast(sum(io_operations) AS bigint) AS io_operations
+FROM x WHERE w + INTERVAL 2 DAY <= (SELECT max(completed_at) FROM r) - INTERVAL 1 HOUR GROUP BY w, db_engine""")
+def k8_windows(t):
+    rows = t.transfers.select("db_engine", "records_transferred", "bytes_transferred", "memory_used_mb", "io_operations", F.col("completed_at").cast("timestamp").alias("completed_at"))
+    return _closed(t, rows, lambda s: windows.engine_windows(s, size="2 days", slide="1 day", late="1 hour"))
+
+
+@query("j12_stream_anomalies", """WITH r AS (SELECT *, date_trunc('day', access_timestamp) AS d FROM {access_log}), x AS (SELECT d - INTERVAL 1 DAY * n.n AS w, r.* FROM r CROSS JOIN (VALUES (0), (1), (2)) AS n(n))
+SELECT cast(w AS timestamp) AS window_start, cast(w + INTERVAL 3 DAY AS timestamp) AS window_end, username, count(*) AS accesses FROM x WHERE is_sensitive_data AND w + INTERVAL 3 DAY <= (SELECT max(access_timestamp) FROM r WHERE is_sensitive_data) - INTERVAL 1 HOUR GROUP BY w, username HAVING count(*) > 3""")
+def j12_windows(t):
+    rows = t.access_log.select("username", "is_sensitive_data", F.col("access_timestamp").cast("timestamp").alias("access_timestamp"))
+    return _closed(t, rows, lambda s: windows.access_anomalies(s, most=3, size="3 days", slide="1 day"))
+
+
+@query("f1_stored_profile", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")))
+def f1_stored(t):
+    root = scratch.folder(t.spark, "sketches")
+    rows = t.lineitem.select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+    for part in ("l_linenumber < 3", "l_linenumber >= 3"):  # the second time only the new files are read
+        rows.where(part).write.mode("append").parquet(f"{root}/table")
+        sketches.refresh(t.spark, f"{root}/table", f"{root}/store")
+    return sketches.profile(sketches.stored(t.spark, f"{root}/store")).select("column_name", "rows", "nulls", "distinct_values")
+
+
+@query("f5_estimated_duplicates", "SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem)) AS duplicate_count, cast(0 AS double) AS standard_error FROM lineitem")
+def f5_estimated(t):
+    return sketches.duplicates(t.lineitem, ["l_returnflag", "l_linestatus", "l_linenumber"], above=100_000_000)
