@@ -542,9 +542,10 @@ def test_strips_hold_no_more_than_their_page(spark, kind):
         at = entries + 2 + 12 * i
         if struct.unpack_from("<H", large, at)[0] in (tiff_media.WIDTH, tiff_media.HEIGHT, tiff_media.ROWS_PER_STRIP):
             struct.pack_into("<I", small, at + 8, 4)
+    raw = bytes(small)
     tracemalloc.start()
     with pytest.raises(ValueError, match="more than its page"):
-        list(tiff_media.read_pages(bytes(small)))
+        list(tiff_media.read_pages(raw))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < len(large) + (1 << 20)
