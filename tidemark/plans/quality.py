@@ -341,7 +341,7 @@ UNION ALL SELECT 'owner', 'kinds', cast(count(DISTINCT CASE WHEN event_type <> '
 def i7_containment(t):
     short = lambda c: F.substring(F.md5(F.col(c).cast("string")), 1, 24)
     references = t.events.where("event_id % 3 = 0").select(F.lit("ref").alias("field"), short("user_id").alias("value")).unionByName(t.events.where("event_id % 4 = 0").select(F.lit("owner").alias("field"), short("event_type").alias("value")))
-    ids = t.events.select(F.lit("users").alias("collection"), short("user_id").alias("id")).unionByName(t.events.where("event_type <> 'error'").select(F.lit("kinds").alias("collection"), short("event_type").alias("id"))).unionByName(t.events.select(F.lit("events").alias("collection"), short("later").alias("id")))
+    ids = t.events.select(F.lit("users").alias("collection"), short("user_id").alias("id")).unionByName(t.events.where("event_type <> 'error'").select(F.lit("kinds").alias("collection"), short("event_type").alias("id"))).unionByName(t.events.withColumn("later", F.col("event_id") + 1_000_000_000).select(F.lit("events").alias("collection"), short("later").alias("id")))
     return lineage.containment(references, ids)
 
 
