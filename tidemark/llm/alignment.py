@@ -147,7 +147,7 @@ class Tokenizers:
 
 
 class Words:
-    """Fragments of words, each tokenized once; forgotten when they take too much room. Numbers and links of all words
+    """Fragments of words, each tokenized once; rare ones are forgotten when they take too much room. Numbers and links of all words
     are held in arrays; a batch of new words is aligned in one go, as if they were one text."""
 
     def __init__(self, tokenizers: Tokenizers, limit: int = 64 << 20):
@@ -164,11 +164,24 @@ class Words:
         self.closed: list[bytes] = []
         self.counts = np.zeros((0, 4), np.int64)  # tokens of both, groups, whether it is spelled
         self.first, self.links = np.zeros(1, np.int64), NONE  # the links of word i from first[i] to first[i + 1]
+        self.used = NONE  # how many texts each word was in, since room was last made
         self.room = 0
 
+    def make_room(self) -> None:
+        """Forget the words that were in one text only, and all of them if that is not half."""
+        kept = np.flatnonzero(self.used > 1)
+        if 2 * len(kept) > len(self.closed):
+            self.forget()
+            return
+        names, n = np.array(list(self.ids), object)[kept].tolist(), np.diff(self.first)[kept]
+        self.links = self.links[np.repeat(self.first[kept], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        self.ids, self.closed, self.counts = dict(zip(names, range(len(kept)), strict=True)), [self.closed[i] for i in kept.tolist()], self.counts[kept]
+        self.first, self.used = np.r_[0, np.cumsum(n)], np.zeros(len(kept), np.int64)
+        self.room = 300 * len(kept) + sum(map(len, self.closed)) + 8 * len(self.links)
+
     def learn(self, words: set[str]) -> None:
         if self.room > self.limit:
-            self.forget()
+            self.make_room()
         new = list(words - self.ids.keys())
         if not new:
             return
@@ -195,6 +208,7 @@ class Words:
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, ok], axis=1)])
         self.links = np.concatenate([self.links, a[ia] * self.base + b[ib]])
         self.first = np.r_[self.first, self.first[-1] + groups]
+        self.used = np.r_[self.used, np.zeros(len(new), np.int64)]
         self.room += 300 * len(new) + len(line) + 8 * len(ia)
 
     def texts(self, texts: list[list[str]]) -> list[tuple]:
@@ -210,6 +224,7 @@ class Words:
         some = spelled[owner]
         used, times = np.unique(owner[some] * len(self.closed) + at[some], return_counts=True)
         who, word = np.divmod(used, max(1, len(self.closed)))
+        self.used += np.bincount(word, minlength=len(self.closed))
         n = np.diff(self.first)[word]
         place = np.repeat(self.first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         key = np.repeat(who, n) * PAIRS + self.links[place]
