@@ -128,26 +128,32 @@ def d11_stateful(t):
     return stateful.rows(t.spark, f"{root}/log", ["user_id"])
 
 
+def _instant(c):
+    """A time without zone as an instant (watermarks need one), as UTC whatever the session's zone is."""
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), F.extract(F.lit("SECOND"), c), F.lit("UTC")).alias(c)
+
+
 def _closed(t, rows, build):
     """The windows that a stream over rows closes."""
     root = scratch.folder(t.spark, "windows")
     rows.write.parquet(f"{root}/in")
     windows.append(build(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    back = lambda c: F.expr(f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros({c}) / 1000000 AS decimal(18, 6)))")
+    return t.spark.read.parquet(f"{root}/out").withColumns({c: back(c) for c in ("window_start", "window_end")})
 
 
 @query("k8_stream_windows", """WITH r AS (SELECT *, date_trunc('day', completed_at) AS d FROM {transfers} WHERE completed_at IS NOT NULL), x AS (SELECT d AS w, * FROM r UNION ALL SELECT d - INTERVAL 1 DAY, * FROM r)
 SELECT cast(w AS timestamp) AS window_start, cast(w + INTERVAL 2 DAY AS timestamp) AS window_end, db_engine, count(*) AS transfers, cast(sum(records_transferred) AS bigint) AS records, cast(sum(bytes_transferred) AS bigint) AS bytes, max(memory_used_mb) AS memory_mb, cast(sum(io_operations) AS bigint) AS io_operations
 FROM x WHERE w + INTERVAL 2 DAY <= (SELECT max(completed_at) FROM r) - INTERVAL 1 HOUR GROUP BY w, db_engine""")
 def k8_windows(t):
-    rows = t.transfers.select("db_engine", "records_transferred", "bytes_transferred", "memory_used_mb", "io_operations", F.col("completed_at").cast("timestamp").alias("completed_at"))
+    rows = t.transfers.select("db_engine", "records_transferred", "bytes_transferred", "memory_used_mb", "io_operations", _instant("completed_at"))
     return _closed(t, rows, lambda s: windows.engine_windows(s, size="2 days", slide="1 day", late="1 hour"))
 
 
 @query("j12_stream_anomalies", """WITH r AS (SELECT *, date_trunc('day', access_timestamp) AS d FROM {access_log}), x AS (SELECT d - INTERVAL 1 DAY * n.n AS w, r.* FROM r CROSS JOIN (VALUES (0), (1), (2)) AS n(n))
 SELECT cast(w AS timestamp) AS window_start, cast(w + INTERVAL 3 DAY AS timestamp) AS window_end, username, count(*) AS accesses FROM x WHERE is_sensitive_data AND w + INTERVAL 3 DAY <= (SELECT max(access_timestamp) FROM r WHERE is_sensitive_data) - INTERVAL 1 HOUR GROUP BY w, username HAVING count(*) > 3""")
 def j12_windows(t):
-    rows = t.access_log.select("username", "is_sensitive_data", F.col("access_timestamp").cast("timestamp").alias("access_timestamp"))
+    rows = t.access_log.select("username", "is_sensitive_data", _instant("access_timestamp"))
     return _closed(t, rows, lambda s: windows.access_anomalies(s, most=3, size="3 days", slide="1 day"))
 
 
