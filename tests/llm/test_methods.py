@@ -685,6 +685,15 @@ def test_hosts_of_many_labels(spark):
     assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "allow"), 4: ("com/en/", "block")}
 
 
+def test_verdicts_of_the_contract(spark):
+    """Every rule of op10's contract with its word, and where the longer of two rules wins. OP10_SQL and test_urls say block for net/de/."""
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = {"http://a.com/en/1": "com/en/", "http://b.example.com/en/71": "example.com/en/7", "http://a.net/de/8": "net/de/", "http://example.net/de/7": "net/de/", "http://c.example.net/de/8": "example.net/de/8", "http://x.org/es/": "org/es/"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.op10_url_filter(pages).collect()}
+    assert got == {i: (rule, want[rule]) for i, rule in enumerate(urls.values())}
+
+
 def test_mixed_language_spans(spark):
     english = "the weather was good and they walked along the river with their friends in the morning"
     french = "nous avons mangé une très bonne soupe avec du pain dans la cuisine de ma grand-mère"
