@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 import struct
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -694,6 +696,26 @@ def test_verdicts_of_the_contract(spark):
     assert got == {i: (rule, want[rule]) for i, rule in enumerate(urls.values())}
 
 
+def test_memory_of_language_id_is_bounded(spark, monkeypatch):
+    """A batch of 12 MB of text is labelled in slices: a worker's arrays don't grow with Spark's batches."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(30_000)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=50)), "abcd"[i % 4]) for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = langid.label(docs.select("doc_id", "text"), model)
+    texts = [" ".join(r.choices(words, k=1000)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        found = [(out.num_rows, out.column("lang_pred").null_count) for out in run(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for n, _ in found) == 2000 and not any(x for _, x in found)
+    assert peak < 50e6, peak
+
+
 def test_mixed_language_spans(spark):
     english = "the weather was good and they walked along the river with their friends in the morning"
     french = "nous avons mangé une très bonne soupe avec du pain dans la cuisine de ma grand-mère"

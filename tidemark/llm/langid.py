@@ -26,6 +26,8 @@ from .common import bounded, crc_mod
 UND = "und"
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
+SLICE = 4 << 20  # bytes of text that a worker labels at once: with four languages some 10 bytes of arrays for each
+CHUNK = 10_000  # words that are scored at once
 LETTERS = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges (public Unicode blocks).
@@ -142,8 +144,8 @@ class Vocabulary(dict):
             more = max(n, 2 * len(self.letters)) - len(self.letters)
             self.scores = np.vstack([self.scores, np.zeros((more, self.scores.shape[1]), np.float32)])
             self.letters = np.r_[self.letters, np.zeros(more, np.int32)]
-        for a in range(0, len(self.new), 50_000):
-            words = self.new[a : a + 50_000]
+        for a in range(0, len(self.new), CHUNK):
+            words = self.new[a : a + CHUNK]
             buckets, owner, first = gram_buckets(words)
             sums = np.stack([np.bincount(owner, weights=self.model.logp[buckets, j], minlength=len(words)) for j in range(self.scores.shape[1])], axis=1)
             sums /= np.sqrt(np.bincount(owner, minlength=len(words)))[:, None]
@@ -207,7 +209,7 @@ def label(docs: DataFrame, model: Model, *, text="text", spans: bool = False) ->
         model = shared.value
         langs = np.array([*model.languages, UND], dtype=object)
         vocabulary = Vocabulary(model)
-        for batch in bounded(batches, text, 16 << 20):
+        for batch in bounded(batches, text, SLICE):
             if len(vocabulary) > vocabulary.limit:
                 vocabulary.start()
             rows = []
