@@ -105,3 +105,16 @@ def test_parts_of_a_batch_are_bounded(spark):
     batch = spark.range(1000).select((F.col("id") * 7).alias("change_id"))
     parts = [p.count() for p in changes.portions(batch, 130)]
     assert max(parts) <= 130 and sum(parts) == 1000 and len(changes.portions(batch, None)) == len(changes.portions(batch, 1000)) == 1
+
+
+def test_changes_of_one_key_are_one_change_to_merge(spark, tmp_path):
+    log = spark.range(4000).select(F.col("id").alias("change_id"), F.when(F.col("id") % 7 == 0, "D").otherwise("U").alias("operation"), (F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    want = sorted((i % 300, i) for i in range(3700, 4000) if i % 7)
+    for most, least in ((300, 1), (100, 3)):
+        table = str(tmp_path / f"t{most}")
+        stream = changes.read_changes(spark, str(tmp_path / "in"), "change_id long, operation string, k long, v long")
+        changes.apply_stream(stream, table, str(tmp_path / f"c{most}"), keys=["k"], columns=["v"], most=most).awaitTermination()
+        assert sorted(tuple(r) for r in changes.live(spark, table).collect()) == want
+        written = [spark.read.parquet(f"{table}/data/{f}").count() for f in os.listdir(f"{table}/data")]
+        assert least <= len(written) <= 4 * least - 3 and max(written) <= most and sum(written) == 300  # before: 40 merges of 100 changes

@@ -104,22 +104,20 @@ def dead(spark: SparkSession, path: str, v: Version) -> DataFrame:
     return spark.read.schema(PLACE).parquet(*[f"{path}/{f}" for f in v.dead]) if v.dead else spark.createDataFrame([], PLACE)
 
 
-def spans(rows: DataFrame, keys: list[str]) -> list[tuple]:
-    """At most SPANS ranges (first key, last key) that hold all keys of rows."""
+def spans(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """At most SPANS ranges (lo and hi, their first and last key) that hold all keys of rows."""
     key = F.struct(*keys)
-    few = rows.select(key.alias("k")).distinct().limit(SPANS + 1).collect()
-    if len(few) <= SPANS:
-        return [(r["k"], r["k"]) for r in few]
-    parts = rows.select(*keys).repartitionByRange(SPANS, *keys).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    return [(r["lo"], r["hi"]) for r in parts.collect()]
+    few = rows.select(*keys).distinct().limit(SPANS + 1)
+    if few.count() <= SPANS:
+        return few.select(key.alias("lo"), key.alias("hi"))
+    return rows.select(*keys).repartitionByRange(SPANS, *keys).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).drop("_p")
 
 
-def touched(files: DataFrame, ranges: list[tuple], keys: list[str]) -> DataFrame:
-    """The entries whose key range meets one of the ranges."""
-    types = files.schema["lo"].dataType
-    key = lambda row: F.struct(*[F.lit(row[k]).cast(types[k].dataType).alias(k) for k in keys])
-    known = F.array(*[F.struct(key(a).alias("lo"), key(b).alias("hi")) for a, b in ranges])
-    return files.where(F.exists(known, lambda x: (x["lo"] <= F.col("hi")) & (x["hi"] >= F.col("lo")))) if ranges else files.limit(0)
+def touched(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The entries whose key range meets one of the ranges. These come as a small frame: as literals of an expression,
+    256 of them take seconds to build and to plan."""
+    known = ranges.select(*[F.col(c).cast(files.schema[c].dataType).alias(f"_{c}") for c in ("lo", "hi")])
+    return files.join(F.broadcast(known), (F.col("_lo") <= F.col("hi")) & (F.col("_hi") >= F.col("lo")), "left_semi")
 
 
 def opened(spark: SparkSession, path: str, v: Version, files: list[str]) -> DataFrame:
@@ -141,7 +139,7 @@ def current(spark: SparkSession, path: str, *, number: int | None = None, near:
         return None
     files = entries(spark, path, v)
     if near is not None:
-        files = touched(files, spans(near, v.keys), v.keys)
+        files = touched(files, spans(near, v.keys))
     gone = dead(spark, path, v)
     marked = {r["file"] for r in gone.select("file").distinct().collect()}
     names = [r["file"] for r in files.select("file").collect()]
@@ -164,7 +162,7 @@ def merge(rows: DataFrame, path: str, *, order: str | None = None, batch: int |
     work, name = scratch.folder(spark, "merge"), uuid.uuid4().hex
     cdc.keyed(rows.select(*schema.names), v.keys).write.parquet(f"{work}/rows")
     rows = spark.read.schema(schema).parquet(f"{work}/rows")
-    files = [r["file"] for r in touched(entries(spark, path, v), spans(rows, v.keys), v.keys).select("file").collect()]
+    files = [r["file"] for r in touched(entries(spark, path, v), spans(rows, v.keys)).select("file").collect()]
     new = replace(v, number=number, batch=v.batch if batch is None else batch, files=[*v.files, f"files/{name}"])
     if files:
         held = placed(opened(spark, path, v, files)).select(*v.keys, *([F.col(order).alias("_held")] if order else []), "file", "pos").join(dead(spark, path, v), ["file", "pos"], "left_anti")
@@ -185,7 +183,7 @@ def remove(keys: DataFrame, path: str) -> None:
     """The rows of these keys go; only their places are written."""
     spark = keys.sparkSession
     v, number, name = version(spark, path), following(spark, path), uuid.uuid4().hex
-    files = [r["file"] for r in touched(entries(spark, path, v), spans(keys, v.keys), v.keys).select("file").collect()]
+    files = [r["file"] for r in touched(entries(spark, path, v), spans(keys, v.keys)).select("file").collect()]
     if files:
         held = placed(opened(spark, path, v, files)).select(*v.keys, "file", "pos").join(dead(spark, path, v), ["file", "pos"], "left_anti")
         held.join(keys.select(*v.keys).distinct(), v.keys, "left_semi").select("file", "pos").write.parquet(f"{path}/dead/{name}")

@@ -36,21 +36,21 @@ def portions(batch: DataFrame, most: int | None) -> list[DataFrame]:
 
 
 def apply_stream(changes: DataFrame, table: str, checkpoint: str, *, keys: list[str], columns: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None, most: int | None = None, every: int | None = None) -> StreamingQuery:
-    """Parsed changes applied to the table; prepare shapes a batch first. A part of a batch with more than
-    `most` changes is merged at a time. The stream ends when no file is left, or looks again every so many seconds."""
+    """Parsed changes applied to the table; prepare shapes a batch first. Of a batch the last change of each
+    key is merged, at most `most` of them at a time: how often a key changes makes no merges. The stream ends when no file
+    is left, or looks again every so many seconds."""
 
     def one(batch: DataFrame, n: int) -> None:
-        batch = batch.persist()
-        parts = portions(batch, most)
+        rows = cdc.latest(cdc.keyed(cdc.known(prepare(batch) if prepare else batch), keys), keys).persist()
+        parts = portions(rows, most)
         for i, part in enumerate(parts):
-            rows = cdc.latest(cdc.keyed(cdc.known(prepare(part) if prepare else part), keys), keys)
-            rows = rows.select(*keys, *columns, F.col("change_id").alias("_change_id"), (F.col("operation") == "D").alias("_deleted"))
+            part = part.select(*keys, *columns, F.col("change_id").alias("_change_id"), (F.col("operation") == "D").alias("_deleted"))
             number = n if i == len(parts) - 1 else None
             if deltas.version(batch.sparkSession, table) is None:
-                deltas.create(rows, table, keys, batch=number)
+                deltas.create(part, table, keys, batch=number)
             else:
-                deltas.merge(rows, table, order="_change_id", batch=number)
-        batch.unpersist()
+                deltas.merge(part, table, order="_change_id", batch=number)
+        rows.unpersist()
 
     out = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=f"{every} seconds") if every else out.trigger(availableNow=True)).start()
