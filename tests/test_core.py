@@ -1,5 +1,6 @@
 """Boundaries, properties and sinks that the SQL comparison does not reach."""
 
+import json
 import random
 
 import pytest
@@ -304,3 +305,26 @@ def test_subjects_need_a_name(spark):
     assert sorted(r["request_id"] for r in comply.export(df, requests, email=["email"], name=["name"]).collect()) == [1, 2]
     short = spark.createDataFrame([(5, None, "e"), (6, None, "nn l"), (7, None, "ann lee jr"), (8, None, "zz")], "request_id int, email string, full_name string")
     assert sorted((r["request_id"], r["k"]) for r in comply.subject_matches(df, short, email=["email"], name=["name"]).collect()) == [(5, 1), (6, 1)]
+
+
+@pytest.mark.parametrize(("cell", "letters"), [(1024, 200_000), (2, 6)])
+def test_subjects_and_requests_meet_once(spark, monkeypatch, cell, letters):
+    monkeypatch.setattr(comply, "CELL", cell)
+    monkeypatch.setattr(comply, "NAME_LETTERS", letters)
+    rows = [(i % 9, [None, "", f"{'uU'[i % 2]}{i % 4}@x.y"][i % 3], ["Ann", "ANNA BO", "bo", None, ""][i % 5], [None, "u1@X.y", "ann"][i % 3]) for i in range(40)] * 2
+    asked = [(i % 7 if i % 11 else None, [None, "", f"u{i % 4}@X.Y"][i % 3], [None, "", "ann", "Bo", "a", "zz"][i % 6]) for i in range(24)] + [(100 + i, "u1@x.y", "ann") for i in range(9)] + [(200, "u2@x.y", None), (201, None, "BO")]
+    df = spark.createDataFrame(rows, "k int, email string, name string, other string")
+    requests = spark.createDataFrame(asked + asked[:5], "request_id int, email string, full_name string")
+    low = lambda x: None if x is None else x.lower()
+    held = lambda r, e, n: (e is not None and low(e) in (low(r[1]), low(r[3]))) or (n not in (None, "") and any(low(n) in low(x) for x in r[2:] if x is not None))
+    want = {(q, *r) for q, e, n in asked for r in rows if held(r, e, n)}
+    both = {"email": ["email", "other"], "name": ["name", "other"]}
+    order = lambda found: sorted(map(str, found))
+    assert order(map(tuple, comply.subject_matches(df, requests, **both).collect())) == order(want)
+    out = comply.export(df, requests, **both)
+    shown = [(r["request_id"], *map(json.loads(r["row"]).get, df.columns)) for r in out.collect()]
+    assert order(shown) == order(want)
+    assert {tuple(r) for r in comply.forget(df, requests, ["name"], **both).select(df.columns).collect()} == {r for r in rows if r[2] is None or r[2] not in {w[3] for w in want}}
+    once = requests.where("request_id >= 100")  # no request looks for more than an address and a name: pairs are not compared
+    plan = comply.export(df, once, **both)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import manysearch
+from ..sources import scratch
 
 YEARS = [("7_YEARS", 7), ("5_YEARS", 5), ("3_YEARS", 3), ("2_YEARS", 2), ("1_YEAR", 1)]
 
@@ -58,42 +59,100 @@ def subject_columns(columns: DataFrame) -> DataFrame:
 NAME_LETTERS = 200_000  # letters of names that one automaton holds; it is broadcast
 
 
-def holding(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    """df with the request_id of each name (request_id, _n) that the column holds, whatever its case. An automaton of all
-    names runs once over each text; where they have more letters than one may hold, names are dealt to several,
-    each with a run of its own. Only rows that hold a name go on."""
+def names_held(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """df with each name (_n) that the column holds, whatever its case. An automaton of all names runs once over each
+    text; where they have more letters than one may hold, names are dealt to several, each with a run of its own. Only
+    rows that hold a name go on."""
     words = names.where(F.length("_n") > 0).select("_n").distinct()
     letters = words.agg(F.sum(F.length("_n"))).first()[0] or 0
     blocks = -(-letters // NAME_LETTERS)
     found = []
     for k in range(blocks):
         find = manysearch.finder(df.sparkSession, [r["_n"] for r in words.where(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == k).collect()])
-        found.append(df.withColumn("_names", find(F.lower(column))).where(F.size("_names") > 0))
-    met = reduce(DataFrame.unionByName, found) if found else df.limit(0).withColumn("_names", F.array().cast("array<string>"))
-    return met.withColumn("_n", F.explode("_names")).join(names, "_n").select("request_id", *df.columns)
+        found.append(df.withColumn("_n", F.explode(find(F.lower(column)))))
+    return reduce(DataFrame.unionByName, found) if found else df.limit(0).withColumn("_n", F.lit(None).cast("string"))
+
+
+def holding(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """df with the request_id of each name (request_id, _n) that the column holds."""
+    return names_held(df, column, names).join(names, "_n").select("request_id", *df.columns)
+
+
+def sought(requests: DataFrame, *, email: list[str], name: list[str]) -> DataFrame:
+    """What each request looks for, once: request_id, _t (the address after e, the name after n, in lower case)."""
+    mark = lambda kind, c: requests.where(f"{c} is not null and ('{kind}' = 'e' or {c} <> '')").select("request_id", F.concat(F.lit(kind), F.lower(c)).alias("_t"))
+    return reduce(DataFrame.unionByName, ([mark("e", "email")] if email else []) + ([mark("n", "full_name")] if name else [])).distinct()
+
+
+def subject_rows(df: DataFrame, wanted: DataFrame, *, email: list[str], name: list[str]) -> DataFrame:
+    """The rows of df that something wanted finds, equal ones once, with all that finds them (_found)."""
+    addresses, names = wanted.where("_t like 'e%'").select("_t").distinct(), wanted.where("_t like 'n%'").select(F.substr("_t", F.lit(2)).alias("_n"))
+    met = [df.withColumn("_t", F.concat(F.lit("e"), F.lower(c))).join(addresses, "_t", "left_semi").select(*df.columns, "_t") for c in email]
+    met += [names_held(df, c, names).select(*df.columns, F.concat(F.lit("n"), "_n").alias("_t")) for c in name]
+    return reduce(DataFrame.unionByName, met).groupBy(*df.columns).agg(F.collect_set("_t").alias("_found"))
+
+
+CELL = 1024  # rows and requests of one address or name that meet at a time
+PAIRS = 16_000_000  # a task
+
+
+def paired(rows: DataFrame, wanted: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """request_id and columns of rows (told apart by `by`) for what is wanted (request_id, _t, _less): one row for each
+    pair that _t finds and _less does not. Where many rows and many requests share a name, both are dealt to cells by their
+    hashes, each row to a line of cells and each request to a column of them, so that no task makes all pairs of a name."""
+    spark, place = rows.sparkSession, ["_t", "_a", "_b"]
+    rows = rows.withColumn("_t", F.explode("_found"))
+    sizes = rows.groupBy("_t").agg(F.count("*").alias("_an")).join(wanted.groupBy("_t").agg(F.count("*").alias("_bn")), "_t")
+    pairs = sizes.agg(F.sum(F.col("_an").cast("double") * F.col("_bn"))).first()[0] or 0
+    large = sizes.withColumns({c: F.ceil(F.col(c) / CELL) for c in ("_an", "_bn")}).where("_an > 1 or _bn > 1")
+
+    def dealt(df: DataFrame, own: str, other: str, key: list[str]) -> DataFrame:
+        n, m = (F.coalesce(f"{c}n", F.lit(1).cast("long")) for c in (own, other))
+        spread = df.join(large, "_t", "left").withColumn(own, F.pmod(F.xxhash64(*key), n))
+        return spread.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).drop("_an", "_bn")
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(pairs / PAIRS))
+    a = dealt(rows, "_a", "_b", by).select(*place, *columns, "_found").repartition(tasks, *place)
+    met = a.join(dealt(wanted, "_b", "_a", ["request_id"]).hint("merge"), place)  # a broadcast of either side leaves all pairs to the other's few tasks
+    return met.where("_less is null or not array_contains(_found, _less)").select("request_id", *columns)
+
+
+def subject_pairs(df: DataFrame, requests: DataFrame, shown: dict[str, Column], *, email: list[str], name: list[str]) -> DataFrame:
+    """request_id and what is shown of the rows of df that belong to it. Rows and requests are made unlike before they
+    meet, and a request with an address and a name gives a row by the greater of them only where the other does not find
+    it, so pairs need no distinct; those of a request_id that looks for more than two things do."""
+    spark, wanted = df.sparkSession, sought(requests, email=email, name=name)
+    work = scratch.folder(spark, "subjects")
+    subject_rows(df, wanted, email=email, name=name).write.parquet(work)  # the search runs once
+    staged = spark.read.parquet(work)
+    rows = staged.withColumns({f"_s_{c}": x for c, x in shown.items()})
+    columns = {f"_s_{c}": c for c in shown}
+    each = wanted.groupBy("request_id").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("*").alias("_n"))
+    two = F.filter(F.array(F.struct(F.col("_first").alias("_t"), F.lit(None).cast("string").alias("_less")), F.struct(F.col("_last").alias("_t"), F.col("_first").alias("_less"))), lambda x: x["_less"].isNull() | (x["_less"] < x["_t"]))
+    out = paired(rows, each.where("_n <= 2").select("request_id", F.inline(two)), list(columns), df.columns)
+    more = each.where("_n > 2").select(F.col("request_id").alias("_r"))
+    if not more.isEmpty():
+        many = wanted.join(more, F.col("request_id").eqNullSafe(F.col("_r")), "left_semi").withColumn("_less", F.lit(None).cast("string"))
+        out = out.unionByName(paired(rows, many, [*df.columns, *columns], df.columns).distinct().select("request_id", *columns))
+    return out.withColumnsRenamed(columns)
 
 
 def subject_matches(df: DataFrame, requests: DataFrame, *, email: list[str], name: list[str]) -> DataFrame:
     """Rows of df that belong to subjects, with request_id: an address column equals the address (whatever its case),
     or a name column holds the name. Requests without both raise no rows. All meet by equi-joins; rows that several
     columns find, or that are equal, come once."""
-    found = []
-    wanted = requests.where("email is not null").select("request_id", F.lower("email").alias("_e"))
-    for c in email:
-        found.append(df.join(wanted, F.lower(c) == F.col("_e")).select("request_id", *df.columns))
-    named = requests.where("full_name is not null and full_name <> ''").select("request_id", F.lower("full_name").alias("_n"))
-    found += [holding(df, c, named) for c in name]
-    return reduce(DataFrame.unionByName, found).distinct()
+    return subject_pairs(df, requests, {c: F.col(c) for c in df.columns}, email=email, name=name)
 
 
 def forget(df: DataFrame, requests: DataFrame, keys: list[str], *, email: list[str], name: list[str]) -> DataFrame:
     """M7: df without the rows of the subjects."""
-    return df.join(subject_matches(df, requests, email=email, name=name).select(*keys).distinct(), keys, "left_anti")
+    gone = subject_rows(df, sought(requests, email=email, name=name), email=email, name=name)
+    return df.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
 def export(df: DataFrame, requests: DataFrame, *, email: list[str], name: list[str]) -> DataFrame:
-    """M8: the subjects' rows as JSON."""
-    return subject_matches(df, requests, email=email, name=name).select("request_id", F.to_json(F.struct(*df.columns)).alias("row"))
+    """M8: the subjects' rows as JSON, which is made once a row, however many requests it belongs to."""
+    return subject_pairs(df, requests, {"row": F.to_json(F.struct(*df.columns))}, email=email, name=name)
 
 
 def pending(requests: DataFrame) -> DataFrame:
